@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Date and time of day, extended or basic, optional seconds, fraction and offset. Blanks around it are cut first.
 ISO_INSTANT = (
     r"^(?:\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?|\d{8}T\d{4}(?:\d{2}(?:[.,]\d+)?)?)"
-    r" ?(?:Z|[+-]\d{2}(?::?\d{2})?)?$"
+    r"(?:Z|[+-]\d{2}(?::?\d{2})?)?$"
 )
 
 
@@ -18,31 +18,26 @@ def iso_epoch(text: Column) -> Column:
     NULL for anything else: a bare date, a bare time, words, a day or hour that
     doesn't exist. 24:00 is the start of the next day. Fractions are cut.
 
-    One regular expression decides whether the text has the form; the parts are
-    then cut out by position, which is much cheaper than a capture each.
+    One regular expression decides whether the text has the form. The engine's
+    own cast then reads it, after a Z where there's no offset, so the session's
+    time zone is never used; only the basic form is rewritten first.
     """
     t = F.upper(F.trim(text))
-    ext = F.substring(t, 5, 1) == "-"
-    part = lambda e, b, n=2: F.when(ext, F.substring(t, e, n)).otherwise(F.substring(t, b, n))
-    day = F.when(ext, F.substring(t, 1, 10)).otherwise(
-        F.concat_ws("-", F.substring(t, 1, 4), F.substring(t, 5, 2), F.substring(t, 7, 2))
+    plain = F.translate(t, ",", ".")
+    basic = F.regexp_replace(
+        F.regexp_replace(plain, r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})", "$1-$2-$3T$4:$5"), r"^(.{16})(\d{2})", "$1:$2"
     )
-    h, m = part(12, 10).try_cast("int"), part(15, 12).try_cast("int")
-    has_s = F.when(ext, F.substring(t, 17, 1) == ":").otherwise(F.substring(t, 14, 1).between("0", "9"))
-    s = F.when(has_s, part(18, 14).try_cast("int")).otherwise(0)
-    sign = lambda n: F.right(t, F.lit(n)).substr(1, 1).isin("+", "-")
-    two = lambda n: F.right(t, F.lit(n)).substr(1, 2).try_cast("int")
-    zone_h = F.when(sign(6), two(5)).when(sign(5), two(4)).when(sign(3), two(2)).otherwise(0)
-    zone_m = F.when(sign(6) | sign(5), two(2)).otherwise(0)
-    west = F.when(sign(6), F.right(t, F.lit(6))).when(sign(5), F.right(t, F.lit(5))).otherwise(F.right(t, F.lit(3)))
-    shift = (zone_h * 60 + zone_m) * 60 * F.when(west.startswith("-"), -1).otherwise(1)
-    ok = (
-        ((h < 24) & (m < 60) & (s < 60) | (h == 24) & (m == 0) & (s == 0))
-        & (zone_h < 24)
-        & (zone_m < 60)
+    form = F.when(F.substring(t, 5, 1) == "-", plain).otherwise(basic)
+    full = F.when(F.substring(form, 17, 1) == ":", form).otherwise(
+        F.concat(F.substring(form, 1, 16), F.lit(":00"), F.substring(form, 17, 20))
     )
-    seconds = F.unix_date(day.try_cast("date")).cast("bigint") * 86400 + h * 3600 + m * 60 + s - shift
-    return F.when(t.rlike(ISO_INSTANT) & ok, seconds)
+    # in a text of the right form a sign so near the end belongs to the offset
+    sign = lambda n: F.substring(t, -n, 1).isin("+", "-")
+    with_zone = F.when(t.endswith("Z") | sign(6) | sign(5) | sign(3), full).otherwise(F.concat(full, F.lit("Z")))
+    read = lambda c: F.unix_seconds(c.try_cast("timestamp"))
+    midnight = read(F.regexp_replace(with_zone, r"^(.{10}.)24:00:00", "$100:00:00")) + 86400
+    late = F.substring(form, 12, 2) == "24"
+    return F.when(t.rlike(ISO_INSTANT), F.when(late, midnight).otherwise(read(with_zone)))
 
 
 def epoch_text(seconds: Column, pattern: str = "yyyy-MM-dd HH:00") -> Column:

@@ -6,9 +6,9 @@ grid's cell borders; a cell's value is the time-weighted average of the pieces
 in it, its coverage the fraction of the cell that they fill.
 
 The order within a source is found in buckets of time: a window runs over
-(source, bucket), and the last reading of a bucket gets its successor from a
-small table of bucket starts. So a source with a third of all rows is spread
-over many tasks.
+(source, bucket), and a reading early in a bucket is also shown to the bucket
+before, as far as the hold time reaches back. So a source with a third of all
+rows is spread over many tasks, and the steps are those of one long series.
 """
 
 from __future__ import annotations
@@ -51,21 +51,16 @@ def validity_intervals(rows: DataFrame, hold_s: int = 7200) -> DataFrame:
     """(station_id, t, t_end, measures): the step function of each station.
 
     Readings of one station at the same second are one step with their mean.
+    hold_s must be less than the bucket of 30 days.
     """
     steps = rows.groupBy("station_id", "t").agg(*[F.avg(m).alias(m) for m in MEASURES])
-    steps = steps.withColumn("bucket", F.floor(F.col("t") / BUCKET_S))
-    starts = (
-        steps.groupBy("station_id", "bucket")
-        .agg(F.min("t").alias("t_first"))
-        .withColumn("t_after", F.lead("t_first").over(Window.partitionBy("station_id").orderBy("bucket")))
-        .drop("t_first")
-    )
-    inner = Window.partitionBy("station_id", "bucket").orderBy("t")
-    steps = steps.withColumn("t_next", F.lead("t").over(inner))
-    whole = steps.join(starts, ["station_id", "bucket"])
-    nxt = F.coalesce("t_next", "t_after", F.col("t") + hold_s)
-    return whole.select(
-        "station_id", "t", F.least(nxt, F.col("t") + hold_s).alias("t_end"), *MEASURES
+    own = F.floor(F.col("t") / BUCKET_S)
+    shown = F.when(F.floor((F.col("t") - hold_s) / BUCKET_S) < own, F.array(own, own - 1)).otherwise(F.array(own))
+    steps = steps.withColumn("bucket", F.explode(shown))
+    steps = steps.withColumn("t_next", F.lead("t").over(Window.partitionBy("station_id", "bucket").orderBy("t")))
+    limit = F.col("t") + hold_s
+    return steps.where(F.col("bucket") == own).select(
+        "station_id", "t", F.least(F.coalesce("t_next", limit), limit).alias("t_end"), *MEASURES
     )
 
 
