@@ -5,10 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import consolidate, multivalue, proximity, regular_grid
+from ..operators import consolidate, harmonise, multivalue, proximity, regular_grid
+from ..functions.units import convert
+from ..session import materialise
 from ..tables import read
 
 
+def _hourly_segments(spark: SparkSession, d: str, said: DataFrame) -> DataFrame:
+    return harmonise.hourly_segments(
+        read(spark, d, "obs_hourly", "obs_id", "station_id", "date", "report_type", *regular_grid.MEASURES),
+        read(spark, d, "report_types"),
+        read(spark, d, "obs_daily"),
+        said,
+    )
+
+
+def _foreign(spark: SparkSession, d: str) -> DataFrame:
+    said = materialise(harmonise.remarks(read(spark, d, "station_notes")))
+    hourly = materialise(_hourly_segments(spark, d, said))
+    minute = materialise(harmonise.minute_segments(read(spark, d, "obs_1min"), said))
+    return harmonise.foreign_values(
+        read(spark, d, "obs_hourly", "obs_id", "station_id", "date", "ingested_at", "temperature_c", "precip_mm"),
+        hourly,
+        read(spark, d, "obs_1min", "min_id", "wban", "timestamp_utc", "temp_f", "precip_in"),
+        minute,
+        read(spark, d, "raw_reports", "report_id", "station_id", "temp_text", "precip_text"),
+    )
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Values recorded in a unit other than their field's, with that unit."""
+    return _foreign(spark, d).select("src_table", "row_id", "field_name", "unit_code")
+
+
+def p2_converted(spark: SparkSession, d: str) -> DataFrame:
+    """The same values in °C or mm."""
+    return _foreign(spark, d).withColumn("common", F.round("common", 4))
+
+
+def p2_report_values(spark: SparkSession, d: str) -> DataFrame:
+    """Every observer's number with its unit, and in °C or mm."""
+    r = harmonise.read_texts(read(spark, d, "raw_reports", "report_id", "station_id", "temp_text", "precip_text"))
+    return r.withColumn("common", F.round(convert(F.col("value"), F.col("unit_code")), 4))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Records of file_fragments that repeat another one, as set aside while the archive is consolidated."""
     return consolidate.consolidate(read(spark, d, "file_fragments", *consolidate.RECORD)).repeats
@@ -89,7 +129,7 @@ def _near(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p3_consolidated, p3_merge_plan, p4_found, p5_found, p5_grid, p6_found, p6_distances)
+    for f in (p2_found, p2_converted, p2_report_values, p3_found, p3_consolidated, p3_merge_plan, p4_found, p5_found, p5_grid, p6_found, p6_distances)
 }
 
 _PLACE = "{0} BETWEEN -90 AND 90 AND {1} BETWEEN -180 AND 180 AND NOT isnan({0}) AND NOT isnan({1}) AND NOT ({0} = 0 AND {1} = 0)"
