@@ -294,27 +294,41 @@ def _capped(unit: str) -> Column:
     return F.col(f"t_{unit}") * F.least(F.lit(1.0), F.lit(float(DAY_READINGS)) / F.col("n_temp"))
 
 
-def hourly_segments(obs: DataFrame, report_types: DataFrame, daily: DataFrame, said: DataFrame) -> DataFrame:
-    """Stretches of obs_hourly records in a unit other than °C or mm: SEGMENTS.
+def reading_rows(obs: DataFrame, report_types: DataFrame) -> DataFrame:
+    """(id, source, t, temp, dew, rain): the rows of obs_hourly whose type is a reading, NaN as NULL.
 
-    Evidence is taken from rows with a valid date. Stations without evidence
-    keep the field's unit. An empty table gives an empty result.
+    t is NULL where the date can't be read. Types are compared without letter
+    case and blanks; rows of a NULL type are no readings.
     """
-    kinds = report_types.where("is_reading").select(F.upper(F.trim("report_type")).alias("kind")).distinct()
-    rows = materialise(
+    kinds = (
+        report_types.where("is_reading")
+        .select(F.upper(F.trim("report_type")).alias("kind"))
+        .where("kind IS NOT NULL")
+        .distinct()
+    )
+    return (
         obs.select(
-            F.col("station_id").alias("source"),
             F.col("obs_id").alias("id"),
+            F.col("station_id").alias("source"),
             F.upper(F.trim("report_type")).alias("kind"),
             iso_epoch(F.col("date")).alias("t"),
             _number("temperature_c").alias("temp"),
             _number("dewpoint_c").alias("dew"),
             _number("precip_mm").alias("rain"),
         )
-        .where("source IS NOT NULL AND t IS NOT NULL")
         .join(kinds, "kind", "left_semi")
         .drop("kind")
     )
+
+
+def hourly_segments(readings: DataFrame, daily: DataFrame, said: DataFrame) -> DataFrame:
+    """Stretches of obs_hourly records in a unit other than °C or mm: SEGMENTS.
+
+    readings: reading_rows, best written out before, as it is read several
+    times. Evidence is taken from rows with a source and a time. Stations without
+    evidence keep the field's unit. An empty table gives an empty result.
+    """
+    rows = readings.where("source IS NOT NULL AND t IS NOT NULL")
     day = F.floor(F.col("t") / DAY).alias("day")
     sums = rows.groupBy("source", day).agg(
         *[F.sum(temperature_evidence(F.col("temp"), F.col("dew"), u)).alias(f"t_{u}") for u in TEMP_UNITS],
@@ -406,6 +420,38 @@ def minute_segments(obs: DataFrame, said: DataFrame) -> DataFrame:
     return t.unionByName(p)
 
 
+def in_common_units(readings: DataFrame, stretches: DataFrame) -> DataFrame:
+    """reading_rows with temp and rain in °C and mm, and slack, the rounding of the converted temperature in °C.
+
+    Rows outside every stretch stay as they are; one without a time is converted
+    where its source used the unit throughout.
+    """
+    per = stretches.groupBy("source").agg(
+        F.collect_list(F.struct("channel", "unit_code", "t_from", "t_until")).alias("held")  # a few per source
+    )
+    t = F.col("t")
+
+    def unit(channel: str) -> Column:
+        here = F.filter(
+            "held",
+            lambda s: (s["channel"] == channel)
+            & F.coalesce((t >= s["t_from"]) & (t < s["t_until"]), (s["t_from"] <= -FOREVER) & (s["t_until"] >= FOREVER)),
+        )
+        return F.get(here, F.lit(0))["unit_code"]
+
+    out = readings.join(per, "source", "left").withColumns({"u_t": unit(TEMPERATURE), "u_p": unit(PRECIPITATION)})
+    slack = F.when(F.col("u_t").isNull(), 0.05).otherwise(0.5)
+    return out.select(
+        "id",
+        "source",
+        "t",
+        F.coalesce(convert(F.col("temp"), F.col("u_t"), TO_DEG_C), F.col("temp")).alias("temp"),
+        "dew",
+        F.coalesce(convert(F.col("rain"), F.col("u_p"), TO_MM), F.col("rain")).alias("rain"),
+        slack.alias("slack"),
+    )
+
+
 # ---------------------------------------------------------------- observers' texts
 
 

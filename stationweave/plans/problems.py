@@ -5,24 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import consolidate, harmonise, multivalue, proximity, regular_grid
+from ..operators import consolidate, harmonise, multivalue, proximity, regular_grid, spikes
 from ..functions.units import convert
 from ..session import materialise
 from ..tables import read
 
 
-def _hourly_segments(spark: SparkSession, d: str, said: DataFrame) -> DataFrame:
-    return harmonise.hourly_segments(
-        read(spark, d, "obs_hourly", "obs_id", "station_id", "date", "report_type", *regular_grid.MEASURES),
-        read(spark, d, "report_types"),
-        read(spark, d, "obs_daily"),
-        said,
+def _readings(spark: SparkSession, d: str) -> DataFrame:
+    return materialise(
+        harmonise.reading_rows(
+            read(spark, d, "obs_hourly", "obs_id", "station_id", "date", "report_type", *regular_grid.MEASURES),
+            read(spark, d, "report_types"),
+        )
     )
 
 
+def _remarks(spark: SparkSession, d: str) -> DataFrame:
+    return materialise(harmonise.remarks(read(spark, d, "station_notes", "station_id", "note_text")))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Readings that can't be their station's weather."""
+    rows = _readings(spark, d)
+    stretches = materialise(harmonise.hourly_segments(rows, read(spark, d, "obs_daily"), _remarks(spark, d)))
+    bad = spikes.bad_readings(materialise(harmonise.in_common_units(rows, stretches)))
+    return bad.select(F.col("id").alias("obs_id"), "field_name")
+
+
 def _foreign(spark: SparkSession, d: str) -> DataFrame:
-    said = materialise(harmonise.remarks(read(spark, d, "station_notes")))
-    hourly = materialise(_hourly_segments(spark, d, said))
+    said = _remarks(spark, d)
+    hourly = materialise(harmonise.hourly_segments(_readings(spark, d), read(spark, d, "obs_daily"), said))
     minute = materialise(harmonise.minute_segments(read(spark, d, "obs_1min"), said))
     return harmonise.foreign_values(
         read(spark, d, "obs_hourly", "obs_id", "station_id", "date", "ingested_at", "temperature_c", "precip_mm"),
@@ -129,7 +141,7 @@ def _near(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_converted, p2_report_values, p3_found, p3_consolidated, p3_merge_plan, p4_found, p5_found, p5_grid, p6_found, p6_distances)
+    for f in (p1_found, p2_found, p2_converted, p2_report_values, p3_found, p3_consolidated, p3_merge_plan, p4_found, p5_found, p5_grid, p6_found, p6_distances)
 }
 
 _PLACE = "{0} BETWEEN -90 AND 90 AND {1} BETWEEN -180 AND 180 AND NOT isnan({0}) AND NOT isnan({1}) AND NOT ({0} = 0 AND {1} = 0)"
