@@ -18,26 +18,32 @@ def iso_epoch(text: Column) -> Column:
     NULL for anything else: a bare date, a bare time, words, a day or hour that
     doesn't exist. 24:00 is the start of the next day. Fractions are cut.
 
-    One regular expression decides whether the text has the form. The engine's
-    own cast then reads it, after a Z where there's no offset, so the session's
-    time zone is never used; only the basic form is rewritten first.
+    One regular expression decides whether the text has the form; the parts are
+    then cut out by position. That is several times cheaper than a cast to
+    timestamp and uses no time zone setting.
     """
     t = F.upper(F.trim(text))
-    plain = F.translate(t, ",", ".")
     basic = F.regexp_replace(
-        F.regexp_replace(plain, r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})", "$1-$2-$3T$4:$5"), r"^(.{16})(\d{2})", "$1:$2"
-    )
-    form = F.when(F.substring(t, 5, 1) == "-", plain).otherwise(basic)
-    full = F.when(F.substring(form, 17, 1) == ":", form).otherwise(
-        F.concat(F.substring(form, 1, 16), F.lit(":00"), F.substring(form, 17, 20))
+        F.regexp_replace(t, r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})", "$1-$2-$3T$4:$5"), r"^(.{16})(\d{2})", "$1:$2"
     )
+    x = F.when(F.substring(t, 5, 1) == "-", t).otherwise(basic)
+    two = lambda c, at: F.substring(c, at, 2).try_cast("int")
+    h, m = two(x, 12), two(x, 15)
+    s = F.when(F.substring(x, 17, 1) == ":", two(x, 18)).otherwise(0)
     # in a text of the right form a sign so near the end belongs to the offset
     sign = lambda n: F.substring(t, -n, 1).isin("+", "-")
-    with_zone = F.when(t.endswith("Z") | sign(6) | sign(5) | sign(3), full).otherwise(F.concat(full, F.lit("Z")))
-    read = lambda c: F.unix_seconds(c.try_cast("timestamp"))
-    midnight = read(F.regexp_replace(with_zone, r"^(.{10}.)24:00:00", "$100:00:00")) + 86400
-    late = F.substring(form, 12, 2) == "24"
-    return F.when(t.rlike(ISO_INSTANT), F.when(late, midnight).otherwise(read(with_zone)))
+    ahead = lambda n: F.when(F.substring(t, -n, 1) == "-", -60).otherwise(60)
+    shift = (
+        F.when(t.endswith("Z"), 0)
+        .when(sign(6), ahead(6) * (two(t, -5) * 60 + two(t, -2)))
+        .when(sign(5), ahead(5) * (two(t, -4) * 60 + two(t, -2)))
+        .when(sign(3), ahead(3) * two(t, -2) * 60)
+        .otherwise(0)
+    )
+    of_day = h * 3600 + m * 60 + s
+    ok = t.rlike(ISO_INSTANT) & (m < 60) & (s < 60) & (of_day <= 86400)
+    day = F.substring(x, 1, 10).try_cast("date")
+    return F.when(ok, F.unix_date(day).cast("bigint") * 86400 + of_day - shift)
 
 
 def epoch_text(seconds: Column, pattern: str = "yyyy-MM-dd HH:00") -> Column:
