@@ -48,12 +48,12 @@ RISK = 0.01
 LEAP_STEP, LOG_STEP = 0.05, 0.05
 #: Shares of a source's peaks at whose survival the tail is read; the share left out of the first fit; peaks needed for a fit.
 LEVELS, TRIM, LEAST = (0.3, 0.1, 0.03), 0.02, 8
-#: The same share for runs, of which a record has fewer.
-RUN_TRIM = 0.1
+#: The same share and number for runs, of which a record has fewer.
+RUN_TRIM, RUN_PEAKS = 0.1, 30
 #: A stuck run is longer than the cutoff and at least this many readings.
 RUN_LEAST = 10
 #: A leap counts only above the cutoff and this many °C.
-LEAP_LEAST = 2.0
+LEAP_LEAST = 2.5
 #: A wet spike is above the cutoff and this many times anything else the source records.
 WET_GAP = 2.5
 WET_PART, WET_MOST = 0.5, 4.0
@@ -222,7 +222,7 @@ def scored(steps: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- tail cutoffs
 
 
-def tail_cutoff(values: np.ndarray, counts: np.ndarray, risk: float = RISK, trim: float = TRIM) -> float:
+def tail_cutoff(values: np.ndarray, counts: np.ndarray, risk: float = RISK, trim: float = TRIM, least: int = LEAST) -> float:
     """The level that `risk` readings of a sample are expected to exceed: peaks over threshold.
 
     values: 0 or more, as a histogram with counts; zeros are readings without a
@@ -232,13 +232,13 @@ def tail_cutoff(values: np.ndarray, counts: np.ndarray, risk: float = RISK, trim
     values that occur, so a source that records whole degrees is fitted on its
     own lattice; where all levels fall on one value, the step from 0 serves.
     The first fit leaves out the share `trim` of the highest peaks, later ones what the last
-    fit cut off, until the cutoff stays. Infinity below LEAST peaks.
+    fit cut off, until the cutoff stays. Infinity below `least` peaks.
     """
     order = np.argsort(values, kind="stable")
     v, n = values[order].astype(float), counts[order].astype(float)
     everything = n.sum()
     n = np.where(v > 0, n, 0.0)
-    if n.sum() < LEAST:
+    if n.sum() < least:
         return math.inf
 
     def fit(m: np.ndarray) -> float:
@@ -249,9 +249,8 @@ def tail_cutoff(values: np.ndarray, counts: np.ndarray, risk: float = RISK, trim
         points: list[tuple[float, float]] = []
         for level in LEVELS:
             x = v[min(int(np.searchsorted(cum, (1 - level) * total, side="right")), len(v) - 1)]
-            s = m[v > x].sum() / everything
-            if s > 0 and (not points or x > points[-1][0] + 1e-9):
-                points.append((x, s))
+            if not points or x > points[-1][0] + 1e-9:
+                points.append((x, max(m[v > x].sum(), 0.5) / everything))
         if len(points) < 2:
             points = [(0.0, total / everything), *points]
         if len(points) < 2:
@@ -299,7 +298,7 @@ def _cutoffs(pdf: pd.DataFrame) -> pd.DataFrame:
         out[f"{m}_leap_cut"] = [max(tail_cutoff(bins * LEAP_STEP, n), LEAP_LEAST)]
     for m in MEASURES:
         bins, n = of.get(f"{m}_run", none)
-        cut = tail_cutoff(bins - 1, n, trim=RUN_TRIM)
+        cut = tail_cutoff(bins - 1, n, trim=RUN_TRIM, least=RUN_PEAKS)
         # too few repeats to fit: the source hardly ever repeats a value
         out[f"{m}_run_cut"] = [float(RUN_LEAST) if math.isinf(cut) else max(cut + 1, float(RUN_LEAST))]
     bins, n = of.get("rain_log", none)
