@@ -1 +1 @@
-"""Readers of raw formats and writers with defined commit rules."""
+"""Empty: readers of raw formats and writers aren't written yet (README, What is missing)."""

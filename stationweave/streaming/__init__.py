@@ -1 +1 @@
-"""Incremental and windowed processing with Structured Streaming."""
+"""Empty: incremental and streaming processing isn't written yet (README, What is missing)."""
