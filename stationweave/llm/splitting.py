@@ -3,19 +3,21 @@
 Separators form a hierarchy: section, paragraph, sentence, word, character. A
 stretch too long for a piece is split by the highest separator that it has, its
 parts again by the next, until all are short enough; neighbouring parts are then
-packed greedily up to the limit, each piece beginning with the last words of the
-one before as overlap.
+packed greedily up to the limit, each piece beginning with the end of the one
+before as overlap: whole words, or characters where there are none.
 
 A cut falls before white space or between characters of different class, where a
 piece of the tokenizer's own pattern begins. There token counts add up exactly,
-so they come from one running sum over the text. Only inside a single run
-longer than a piece (a word of thousands of letters) are counts taken from the
-encoder's prefix table, which knows the number of tokens of every prefix.
+so they come from one running sum over the text. Inside a single run longer than
+a piece (a word of thousands of letters) counts are taken from the encoder's
+prefix table, which knows the number of tokens of every prefix; pieces that begin
+inside a run, or hold a place where one was broken, are counted anew.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,8 +51,10 @@ class _Text:
     def __init__(self, text: str, enc: Encoder, most: int):
         self.text = text
         starts, counts = enc.pieces(text)
+        whole = starts
         starts, counts = self._break_long(text, enc, starts, counts, most)
         self.at = np.append(starts, len(text))
+        self.breaks = np.flatnonzero(~np.isin(starts, whole))
         self.sum = np.concatenate([[0], np.cumsum(counts)])
         self._level: dict[int, np.ndarray] = {}
 
@@ -82,6 +86,10 @@ class _Text:
             s[i : i + 1], c[i : i + 1] = new_s, new_c
         return np.array(s, dtype=np.int64), np.array(c, dtype=np.int64)
 
+    def broken(self, a: int, b: int) -> bool:
+        """Whether a place between a and b lies inside a run of the pattern."""
+        return bool(np.searchsorted(self.breaks, a, side="right") < np.searchsorted(self.breaks, b, side="left"))
+
     def cuts(self, level: int) -> np.ndarray:
         """Indices of the starts at which a level may cut."""
         if level not in self._level:
@@ -116,12 +124,42 @@ class _Text:
                 out.append((end, LEVELS[level]))
 
 
+def _begin(t: _Text, count, lo: int, end: int, overlap: int) -> tuple[int, int, int]:
+    """Where the overlap before place `end` begins if no word does: (place, character, tokens from that to the place).
+
+    The earliest place within the overlap, if that holds half of it; else a
+    character inside the run before, as far back as the overlap allows.
+    """
+    held = int(t.sum[end] - t.sum[lo])
+    if 2 * held >= overlap or lo == 0:
+        return lo, int(t.at[lo]), 0
+    a, b = int(t.at[lo - 1]), int(t.at[lo])
+    best, near, far = (b, 0), 1, min(b - a, 2 * overlap)
+    while far < b - a and count(b - far, b) <= overlap - held:
+        far = min(2 * far, b - a)
+    while near <= far:
+        size = (near + far) // 2
+        n = count(b - size, b)
+        if n <= overlap - held:
+            best, near = (b - size, n), size + 1
+        else:
+            far = size - 1
+    first = best[0]
+    # a mark stays with the character that it belongs to
+    while first < b and (unicodedata.combining(t.text[first]) or t.text[first] in "\u200d\ufe0e\ufe0f"):
+        first += 1
+    while first < b and count(first, int(t.at[end])) > overlap:
+        first += 1
+    return lo, first, count(first, b) if first < b else 0
+
+
 def split_text(text: str | None, enc: Encoder, limit: int = LIMIT, overlap: int = OVERLAP) -> list[Piece]:
     """The pieces of a text in order. A text within the limit is one piece; NULL and empty texts are one of no tokens.
 
     Consecutive pieces overlap by the longest run of whole words at the end of
-    the earlier one that has at most `overlap` tokens, which may be none where a
-    single word has more. No piece exceeds the limit.
+    the earlier one that has at most `overlap` tokens. Where no word begins there,
+    as in Japanese or base64, the overlap begins at a change of character class,
+    or inside a long run at a character. No piece exceeds the limit.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be below the limit")
@@ -136,21 +174,34 @@ def split_text(text: str | None, enc: Encoder, limit: int = LIMIT, overlap: int
     ends = np.array([e for e, _ in atoms])
     sums = t.sum[ends]
     words = t.cuts(3)
-    out, start, done = [], 0, 0
+    count = lambda i, j: int(enc.count([text[i:j]])[0])
+    # a piece begins at character `first`, `head` tokens before place `start`
+    out, start, done, first, head = [], 0, 0, 0, 0
     while done < last:
-        k = int(np.searchsorted(sums, t.sum[start] + limit, side="right")) - 1
+        k = int(np.searchsorted(sums, t.sum[start] + limit - head, side="right")) - 1
+        n = head + int(t.sum[ends[k]] - t.sum[start])
+        if first < t.at[start] or t.broken(start, int(ends[k])):  # sums hold only between places of the pattern
+            while ends[k] > done and (n := count(first, int(t.at[ends[k]]))) > limit:
+                k -= 1
+            if ends[k] <= done and (start, head) != (done, 0):
+                start, first, head = done, int(t.at[done]), 0
+                continue
+            k = max(k, int(np.searchsorted(ends, done, side="right")))
+            shared = count(first, int(t.at[done])) if first < t.at[done] else 0
+        else:
+            shared = int(t.sum[done] - t.sum[start])
         end = int(ends[k])
-        shared = int(t.sum[done] - t.sum[start])
-        out.append(
-            Piece(int(t.at[start]), int(t.at[end]), int(t.sum[end] - t.sum[start]), shared, atoms[k][1] if end < last else "end")
-        )
-        done = end
-        start = end
+        out.append(Piece(first, int(t.at[end]), n, shared, atoms[k][1] if end < last else "end"))
+        done = start = end
+        first, head = int(t.at[end]), 0
         if overlap and end < last:
             lo = int(np.searchsorted(t.sum, t.sum[end] - overlap, side="left"))
             w = words[np.searchsorted(words, lo, side="left") : np.searchsorted(words, end, side="left")]
             if len(w):
                 start = int(w[0])
+                first = int(t.at[start])
+            else:
+                start, first, head = _begin(t, count, lo, end, overlap)
     return out
 
 
