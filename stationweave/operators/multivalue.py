@@ -149,10 +149,11 @@ def _hits(automaton, text: str) -> list[tuple[int, int]]:
 
 
 def _boundary_spans(text: str) -> list[tuple[int, int, str]]:
-    """All stretches between two boundaries of a field, of at most 64 characters: the candidates of the join."""
+    """All stretches between two boundaries of a field, as segment() sees them: the candidates of the join."""
+    a, b = _bare(text)
     cut = set(DELIMITERS + BLANKS)
-    starts = [i for i, ch in enumerate(text) if ch not in cut and (i == 0 or text[i - 1] in cut)]
-    ends = [i + 1 for i, ch in enumerate(text) if ch not in cut and (i + 1 == len(text) or text[i + 1] in cut)]
+    starts = [i for i in range(a, b) if i == a or text[i - 1] in cut]
+    ends = [j for j in range(a + 1, b + 1) if j == b or text[j] in cut]
     return [(i, j, text[i:j]) for i in starts for j in ends if i < j]
 
 

@@ -77,15 +77,20 @@ def p3_merge_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _dictionary(spark: SparkSession, d: str) -> DataFrame:
-    """Ids known as whole values: those of the coverage and history tables, and fields of a single id."""
+    """Ids known as whole values: those of the coverage and history tables, and fields of a single id.
+
+    The former hold one id a field, so one with a delimiter inside is whole too;
+    of the latter only fields without any delimiter are known to hold one.
+    """
     one = lambda df, c: df.select(F.trim(F.col(c)).alias("value"))
     m = read(spark, d, "master_station_list", "wban_ids", "icao_ids", "ghcnd_ids")
     h = read(spark, d, "isd_history", "wban", "icao")
     c = read(spark, d, "station_coverage_geo", "station_id_raw")
     out = one(c, "station_id_raw").unionByName(one(h, "wban")).unionByName(one(h, "icao"))
+    out = out.where((F.length("value") > 2) & F.col("value").rlike(r"^\w.*\w$"))
     for f in m.columns:
-        out = out.unionByName(one(m, f))
-    return out.where(F.col("value").rlike(r"^[A-Za-z0-9_]{3,}$"))
+        out = out.unionByName(one(m, f).where(F.col("value").rlike(r"^[A-Za-z0-9_]{3,}$")))
+    return out
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
