@@ -15,14 +15,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.temporal import iso_epoch
 from ..session import shared_dir
 
+#: What a consolidated file should hold, before compression.
+TARGET_BYTES = 128_000_000
+
 RECORD = ("file_id", "rec_no", "station_id", "obs_time", "element", "value_text")
 
 
@@ -97,18 +102,35 @@ def multiset_checksum(df: DataFrame) -> tuple[int, int, int]:
     return int(r["n"]), int(r["s"]), int(r["x"])
 
 
-def rebalanced(df: DataFrame, *keys: str, target_bytes: int | None = None) -> DataFrame:
+def rebalanced(df: DataFrame, *keys: str) -> DataFrame:
     """df under a REBALANCE hint: adaptive execution splits and merges the output partitions.
 
-    target_bytes sets the session's advisory partition size; left out, the
-    session's own value holds. With keys, rows of a key stay together unless the
-    key alone exceeds the size, in which case it is split.
+    The size that they get is that of `sized`. With keys, rows of a key stay
+    together unless the key alone exceeds the size, in which case it is split.
     """
-    if target_bytes:
-        df.sparkSession.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
     return df.hint("rebalance", *[F.col(k) for k in keys])
 
 
+@contextmanager
+def sized(spark: SparkSession, target_bytes: int | None) -> Iterator[None]:
+    """Adaptive execution aims at partitions of target_bytes, not at one per core; the session's own values return after.
+
+    The size is that of the shuffled rows; compressed files come out smaller.
+    None leaves the session's size.
+    """
+    names = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    if target_bytes:
+        names["spark.sql.adaptive.advisoryPartitionSizeInBytes"] = str(target_bytes)
+    held = {n: spark.conf.get(n, None) for n in names}
+    try:
+        for n, v in names.items():
+            spark.conf.set(n, v)
+        yield
+    finally:
+        for n, v in held.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
 def consolidate(
     fragments: DataFrame, path: str | None = None, target_bytes: int | None = None
 ) -> Consolidated:
@@ -122,9 +144,8 @@ def consolidate(
     path = path or shared_dir(spark)
     kept = first_deliveries(fragments)
     staging = f"{path.rstrip('/')}__staging"
-    rebalanced(kept, target_bytes=target_bytes).write.mode("overwrite").option("compression", "zstd").parquet(
-        staging
-    )
+    with sized(spark, target_bytes):
+        rebalanced(kept).write.mode("overwrite").option("compression", "zstd").parquet(staging)
     written = spark.read.schema(kept.schema).parquet(staging)
     meant, found = multiset_checksum(kept), multiset_checksum(written)
     if meant != found:
@@ -160,7 +181,7 @@ def small_files(inventory: DataFrame, small_bytes: int = 1_000_000) -> DataFrame
     )
 
 
-def merge_plan(inventory: DataFrame, small_bytes: int = 1_000_000, target_bytes: int = 128_000_000) -> DataFrame:
+def merge_plan(inventory: DataFrame, small_bytes: int = 1_000_000, target_bytes: int = TARGET_BYTES) -> DataFrame:
     """Per (source, subfolder): how many small files there are and how many files they need at target size."""
     files = small_files(inventory, small_bytes)
     n = F.count(F.lit(1))

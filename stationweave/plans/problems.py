@@ -63,12 +63,12 @@ def p2_report_values(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Records of file_fragments that repeat another one, as set aside while the archive is consolidated."""
-    return consolidate.consolidate(read(spark, d, "file_fragments", *consolidate.RECORD)).repeats
+    return consolidate.consolidate(read(spark, d, "file_fragments", *consolidate.RECORD), target_bytes=consolidate.TARGET_BYTES).repeats
 
 
 def p3_consolidated(spark: SparkSession, d: str) -> DataFrame:
     """The records as the consolidated files hold them."""
-    return consolidate.consolidate(read(spark, d, "file_fragments", *consolidate.RECORD)).kept
+    return consolidate.consolidate(read(spark, d, "file_fragments", *consolidate.RECORD), target_bytes=consolidate.TARGET_BYTES).kept
 
 
 def p3_merge_plan(spark: SparkSession, d: str) -> DataFrame:
