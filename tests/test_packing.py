@@ -1,0 +1,14 @@
+import random
+
+from stationweave.llm.packing import pack
+
+
+def test_every_item_once_and_none_beyond_capacity():
+    r = random.Random(3)
+    for capacity in (1, 7, 64):
+        sizes = [r.randint(1, capacity) for _ in range(300)]
+        sources = [r.choice("abc") for _ in sizes]
+        container, place, n = pack(sizes, sources, capacity, {"a": 0.5, "b": 0.5}, {})
+        assert set(container) == set(range(n))
+        assert len(set(zip(container, place))) == len(sizes)
+        assert all(sum(s for s, c in zip(sizes, container) if c == k) <= capacity for k in range(n))
