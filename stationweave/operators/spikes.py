@@ -274,7 +274,10 @@ def wet_cutoff(logs: np.ndarray, counts: np.ndarray) -> float:
 
     The fit alone would be bold in a short record, the gap alone blind. A value
     counts if it lies at least WET_PART of the way from the source's middle to
-    the fitted cutoff and nothing lies within the factor WET_GAP below it.
+    the fitted cutoff and nothing lies within the factor WET_GAP below it. Where
+    there is no such gap, because a value lies between, those count that exceed
+    WET_GAP times the cutoff fitted to the amounts themselves: what the source
+    would record at most.
     """
     order = np.argsort(logs, kind="stable")
     v, n = logs[order].astype(float), counts[order].astype(float)
@@ -285,7 +288,7 @@ def wet_cutoff(logs: np.ndarray, counts: np.ndarray) -> float:
     for i in range(1, len(v)):
         if v[i] >= middle + WET_PART * cut and v[i] - v[i - 1] >= math.log(WET_GAP):
             return v[i] - LOG_STEP / 2
-    return math.inf
+    return math.log(WET_GAP * tail_cutoff(np.exp(v), n))
 
 
 def _cutoffs(pdf: pd.DataFrame) -> pd.DataFrame:
