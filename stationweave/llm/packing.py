@@ -1,13 +1,16 @@
 """Texts into containers of a fixed number of tokens, mixed by source.
 
 Each source is a queue. For every container each queue's deficit grows by its
-share of the capacity; a queue may place items while its deficit lasts, the
-largest that fits first; what space is then left goes to the largest item of any
-queue that fits, whose deficit goes below zero. Deficits are carried from
-container to container. The corpus is packed in shards of a bounded number of
-tokens; what a shard's queues start with is the deficit that all shards before it
-leave, known beforehand from the sums per shard and source, so the shards need
-not wait for each other.
+share of the capacity. The queues take turns, the one that is owed most first,
+and place one item a turn, their largest that fits into the space left; what an
+item has beyond its queue's deficit is owed back by later containers. Deficits are
+carried from container to container. The corpus is packed in shards of a bounded
+number of tokens; what a shard's queues start with is the deficit that all shards
+before it leave, known beforehand from the sums per shard and source, so the
+shards need not wait for each other.
+
+Large items go first, while many small ones are left to fill up with, so a
+container lacks its proportions only by what its large item has too much.
 """
 
 from __future__ import annotations
@@ -19,8 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CAPACITY = 2048
+#: A text beyond the capacity is cut into parts of so many tokens: smaller than a container, so that each container can mix sources.
+PART_TOKENS = CAPACITY // 4
 #: Tokens of a shard; a shard is packed by one task and leaves at most one container badly filled.
 SHARD_TOKENS = 4_000_000
+#: Shards whose sums are added up together, before the sums of such blocks are.
+BLOCK = 1024
 
 
 class _Queue:
@@ -41,7 +48,7 @@ class _Queue:
     def seal(self) -> None:
         self.sizes.sort()
 
-    def fitting(self, space: float) -> int:
+    def fitting(self, space: int) -> int:
         """Size of the largest item of at most `space`, or 0."""
         k = bisect_right(self.sizes, space)
         return self.sizes[k - 1] if k else 0
@@ -64,7 +71,7 @@ def pack(
     sizes are 1 to capacity. share: part of each container that a source should
     fill; a source that isn't named has none, and its items only fill space left
     over. deficit: tokens that each source is owed at the start. Of equal sizes
-    the last item goes first.
+    the last item goes first, of equal deficits the source first by name.
     """
     queues: dict[str, _Queue] = {}
     for i, (n, s) in enumerate(zip(sizes, sources)):
@@ -80,22 +87,11 @@ def pack(
         whole = sum(share.get(s, 0.0) for s in live) or 1.0
         for s in live:
             owed[s] += capacity * share.get(s, 0.0) / whole
-        turn = sorted(live, key=lambda s: (-owed[s], s))
-        by_turn = True
         while space and left:
-            size = 0
-            if by_turn:
-                for s in turn:
-                    size = queues[s].fitting(min(space, owed[s])) if owed[s] >= 1 else 0
-                    if size:
-                        break
-                else:
-                    by_turn = False
-                    continue
+            for s in sorted(live, key=lambda s: (-owed[s], s)):
+                if size := queues[s].fitting(space):
+                    break
             else:
-                # of the largest items that fit, the one of the source that is owed most
-                size, _, s = max(((queues[x].fitting(space), owed[x], x) for x in turn if queues[x].left), default=(0, 0.0, ""))
-            if not size:
                 break
             i = queues[s].take(size)
             container[i], place[i] = c, at
@@ -107,58 +103,79 @@ def pack(
     return container, place, c
 
 
-def items_of(lengths: DataFrame, capacity: int) -> DataFrame:
-    """One row per item: a text, or of a text beyond the capacity its consecutive parts of `capacity` tokens and the rest.
+def items_of(lengths: DataFrame, capacity: int, part_tokens: int) -> DataFrame:
+    """One row per item: a text, or of a text beyond the capacity its consecutive parts of `part_tokens` tokens and the rest.
 
     Texts without tokens are no items.
     """
-    parts = F.ceil(F.col("n_tokens") / F.lit(capacity)).cast("int")
+    beyond = F.col("n_tokens") > capacity
+    parts = F.when(beyond, F.ceil(F.col("n_tokens") / F.lit(part_tokens))).otherwise(1).cast("int")
     return (
         lengths.where("n_tokens > 0")
         .withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .withColumn("token_from", F.col("part").cast("bigint") * capacity)
-        .withColumn("size", F.least(F.lit(capacity), F.col("n_tokens") - F.col("token_from")).cast("int"))
+        .withColumn("token_from", F.col("part").cast("bigint") * part_tokens)
+        .withColumn(
+            "size", F.when(beyond, F.least(F.lit(part_tokens), F.col("n_tokens") - F.col("token_from"))).otherwise(F.col("n_tokens")).cast("int")
+        )
+    )
+
+
+def _sum_before(sums: DataFrame, value: str, name: str, *keys: str) -> DataFrame:
+    """sums (shard, keys, value) with the sum of value over all earlier shards of the same keys.
+
+    Added up by blocks of shards, so no key's shards ever meet in one task.
+    """
+    rows = sums.withColumn("block", F.floor(F.col("shard") / BLOCK))
+    blocks = rows.groupBy(*keys, "block").agg(F.sum(value).alias("_all"))
+    upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_earlier", F.coalesce(F.sum("_all").over(upto(*keys).orderBy("block")), F.lit(0)))
+    within = F.coalesce(F.sum(value).over(upto(*keys, "block").orderBy("shard")), F.lit(0))
+    return (
+        rows.withColumn("_within", within)
+        .join(blocks.drop("_all"), [*keys, "block"])
+        .withColumn(name, F.col("_earlier") + F.col("_within"))
+        .drop("block", "_earlier", "_within")
     )
 
 
 def pack_corpus(
     lengths: DataFrame, key: str = "doc_id", source: str = "source", capacity: int = CAPACITY,
-    mixture: dict[str, float] | None = None, shard_tokens: int = SHARD_TOKENS,
+    mixture: dict[str, float] | None = None, shard_tokens: int = SHARD_TOKENS, part_tokens: int | None = None,
 ) -> DataFrame:
     """(key, part, token_from, size, container_id, place): every text of a corpus in a container.
 
     lengths: key, source and n_tokens, best written out before, as it is read
-    twice. mixture: weights of the sources; left out, the corpus's own
-    proportions. A NULL source is a source of its own. Texts without tokens come
-    out with part 0, size 0 and a NULL container. Repeated rows are packed as
-    often as they come. No text is split unless it alone exceeds the capacity.
+    twice, once (for the number of shards) while the result is being built.
+    mixture: weights of the sources; left out, the corpus's own proportions. A
+    NULL source is a source of its own. Texts without tokens come out with part
+    0, size 0 and a NULL container. Repeated rows are packed as often as they
+    come. No text is split unless it alone exceeds the capacity; one that does is
+    cut into parts of part_tokens, a quarter of the capacity if left out.
     """
+    part_tokens = part_tokens or max(1, capacity // 4)
     rows = lengths.select(
         F.col(key).alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("src"), "n_tokens"
     )
     total = rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, -(-int(total) // shard_tokens))
-    items = items_of(rows, capacity).withColumn(
+    items = items_of(rows, capacity, part_tokens).withColumn(
         "shard", F.pmod(F.xxhash64("key", "part", "n_tokens"), F.lit(shards)).cast("bigint")
     )
     sums = items.groupBy("shard", "src").agg(F.sum("size").alias("tokens"))
     if mixture is None:
-        shares = sums.groupBy("src").agg(F.sum("tokens").alias("w"))
+        shares = sums.groupBy("src").agg((F.sum("tokens") / F.lit(float(max(int(total), 1)))).alias("share"))
     else:
-        shares = lengths.sparkSession.createDataFrame([(s, float(w)) for s, w in mixture.items()], "src string, w double")
-    shares = shares.crossJoin(shares.agg(F.sum("w").alias("all"))).select(  # one row beside a row per source
-        "src", F.try_divide(F.col("w"), F.col("all")).alias("share")
-    )
-    per_shard = sums.groupBy("shard").agg(F.sum("tokens").alias("all"))
-    # every shard, with every source that the corpus or the mixture has
-    grid = per_shard.join(shares, how="cross")
-    before = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+        whole = float(sum(mixture.values())) or 1.0
+        shares = lengths.sparkSession.createDataFrame([(s, w / whole) for s, w in mixture.items()], "src string, share double")
+    per_shard = _sum_before(sums.groupBy("shard").agg(F.sum("tokens").alias("all")), "all", "all_before")
     owed = (
-        grid.join(sums, ["shard", "src"], "left")
-        .withColumn("gap", F.col("share") * F.col("all") - F.coalesce("tokens", F.lit(0)))
-        .withColumn("deficit", F.coalesce(F.sum("gap").over(before), F.lit(0.0)))
-        .groupBy("shard")
-        .agg(F.collect_list(F.struct("src", "share", "deficit")).alias("owed"))
+        _sum_before(sums, "tokens", "before", "src")
+        .join(per_shard, "shard")
+        .join(shares, "src", "left")
+        .withColumn("share", F.coalesce("share", F.lit(0.0)))
+        .withColumn("deficit", F.col("share") * F.col("all_before") - F.col("before"))
+        .groupBy(F.col("shard").alias("owed_shard"))
+        .agg(F.collect_list(F.struct("src", "share", "deficit")).alias("owed"))  # a shard's own sources
     )
 
     def run(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
@@ -175,7 +192,7 @@ def pack_corpus(
 
     kind = dict(lengths.dtypes)[key]
     schema = f"key {kind}, part int, token_from bigint, size int, container_id bigint, place int"
-    packed = items.groupBy("shard").cogroup(owed.groupBy("shard")).applyInPandas(run, schema)
+    packed = items.groupBy("shard").cogroup(owed.groupBy("owed_shard")).applyInPandas(run, schema)
     none = rows.where("n_tokens = 0").select(
         "key", F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("token_from"), F.lit(0).alias("size"),
         F.lit(None).cast("bigint").alias("container_id"), F.lit(None).cast("int").alias("place"),
