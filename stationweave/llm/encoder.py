@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from pathlib import Path
 
@@ -220,6 +220,12 @@ def _classes() -> np.ndarray:
     return table
 
 
+def code_points(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of a text, and whether each is white space."""
+    c = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    return c, _classes()[c] == SPACE
+
+
 #: What may follow an apostrophe as a piece of its own.
 _SHORT, _LONG = "stmd", ("re", "ve", "ll")
 
@@ -267,6 +273,23 @@ def piece_starts(text: str, ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+class _Rows:
+    """An array that grows at its end; its space doubles, so growth costs what is added."""
+
+    def __init__(self, kind):
+        self.space, self.n = np.empty(1024, dtype=kind), 0
+
+    def extend(self, more: np.ndarray) -> None:
+        end = self.n + len(more)
+        if end > len(self.space):
+            self.space = np.concatenate([self.space[: self.n], np.empty(max(end, 2 * len(self.space)) - self.n, dtype=self.space.dtype)])
+        self.space[self.n : end] = more
+        self.n = end
+
+    def rows(self) -> np.ndarray:
+        return self.space[: self.n]
+
+
 class Encoder:
     """Token ids and token counts of texts, remembering the pieces met."""
 
@@ -276,23 +299,28 @@ class Encoder:
 
     def _forget(self) -> None:
         self._place: dict[str, int] = {}
-        self._flat: list[int] = []
-        self._lengths: list[int] = []
-        self._arrays: tuple[int, np.ndarray, np.ndarray, np.ndarray] | None = None
+        # what was learnt since the arrays were last looked at
+        self._new_flat: list[int] = []
+        self._new_lengths: list[int] = []
+        self._held = _Rows(np.int64), _Rows(np.int64), _Rows(np.int32)
 
     def _learn(self, piece: str) -> int:
         ids = PrefixTable(self.vocabulary, piece.encode()).ids()
-        at = self._place[piece] = len(self._lengths)
-        self._flat += ids
-        self._lengths.append(len(ids))
+        at = self._place[piece] = len(self._place)
+        self._new_flat += ids
+        self._new_lengths.append(len(ids))
         return at
 
     def _known(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if self._arrays is None or self._arrays[0] != len(self._lengths):
-            lengths = np.array(self._lengths, dtype=np.int64)
-            flat = np.array(self._flat, dtype=np.int32)
-            self._arrays = (len(lengths), lengths, np.cumsum(lengths) - lengths, flat)
-        return self._arrays[1:]
+        """Of all pieces met: the number of ids, where they begin, and the ids in a row."""
+        lengths, offsets, flat = self._held
+        if self._new_lengths:
+            new = np.array(self._new_lengths, dtype=np.int64)
+            offsets.extend(flat.n + np.cumsum(new) - new)
+            lengths.extend(new)
+            flat.extend(np.array(self._new_flat, dtype=np.int32))
+            self._new_flat, self._new_lengths = [], []
+        return lengths.rows(), offsets.rows(), flat.rows()
 
     def _places(self, text: str, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(starts of the pieces, their places in memory)."""
@@ -300,14 +328,14 @@ class Encoder:
             self._forget()
         starts = piece_starts(text, ends)
         cut = [*starts.tolist(), len(text)]
-        pieces = [text[a:b] for a, b in zip(cut, cut[1:])]
+        pieces = list(map(text.__getitem__, map(slice, cut, cut[1:])))
         get = self._place.get
-        places = [get(p, -1) for p in pieces]
-        if -1 in places:
+        places = list(map(get, pieces))
+        if None in places:
             for i, at in enumerate(places):
-                if at < 0:
-                    at = get(pieces[i], -1)
-                    places[i] = at if at >= 0 else self._learn(pieces[i])
+                if at is None:
+                    at = get(pieces[i])
+                    places[i] = self._learn(pieces[i]) if at is None else at
         return starts, np.array(places, dtype=np.int64)
 
     def _batches(self, texts: Sequence[str | None]):
@@ -352,10 +380,16 @@ class Encoder:
             out.append(self._per_text(starts, self._known()[0][places], ends))
         return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
-    def pieces(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(starts of the pieces of one text, number of ids of each)."""
-        starts, places = self._places(text, np.array([len(text)]))
-        return starts, self._known()[0][places]
+    def pieces(self, texts: Sequence[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of each text: its number of ids, the starts of its pieces, and the number of ids of each."""
+        for _, text, ends in self._batches(texts):
+            starts, places = self._places(text, ends)
+            n = self._known()[0][places]
+            totals = self._per_text(starts, n, ends).tolist()
+            bounds = [0, *np.searchsorted(starts, ends, side="left").tolist()]
+            for k, base in enumerate([0, *ends[:-1].tolist()]):
+                a, b = bounds[k], bounds[k + 1]
+                yield totals[k], starts[a:b] - base, n[a:b]
 
 
 @lru_cache(maxsize=2)

@@ -25,14 +25,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .encoder import TOKENIZERS, VOCABULARY, Encoder, PrefixTable, encoder
+from .encoder import TOKENIZERS, VOCABULARY, Encoder, PrefixTable, code_points, encoder
 
 LIMIT, OVERLAP = 512, 64
 
-#: Highest first. Each pattern matches from where the cut falls.
-SECTION = re.compile(r"\s*\f|\s*\n\s*(?=#{1,6}\s|\d+(?:\.\d+)*[.)]\s+\S[^\n]{0,80}(?:\n|$)|[=\-*_~]{4,}[ \t]*(?:\n|$))")
-PARAGRAPH = re.compile(r"[ \t\r]*\n[ \t\r]*\n\s*")
-SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)\]]*(?=\s)|(?<=[。！？])[」』）\"']*|[ \t\r]*\n")
+#: What the line after a section's border begins with: a heading's signs, a numbered title, a rule.
+HEADING = re.compile(r"#{1,6}\s|\d+(?:\.\d+)*[.)]\s+\S[^\n]{0,80}(?:\n|$)|[=\-*_~]{4,}[ \t]*(?:\n|$)")
+#: Signs that end a sentence if white space follows; signs that end one in any case; what may close after either.
+STOPS, FULL_STOPS, CLOSERS = ".!?…", "。！？", "\"'”’)]」』）"
+_codes = lambda signs: np.array([ord(ch) for ch in signs], dtype=np.uint32)
+_STOPS, _FULL_STOPS, _CLOSERS = map(_codes, (STOPS, FULL_STOPS, CLOSERS))
+_HEADS = _codes("#0123456789=-*_~")
 LEVELS = ("section", "paragraph", "sentence", "word", "character")
 
 
@@ -48,15 +51,15 @@ class Piece:
 class _Text:
     """Places where a text may be cut, and the running sum of its tokens."""
 
-    def __init__(self, text: str, enc: Encoder, most: int):
+    def __init__(self, text: str, starts: np.ndarray, counts: np.ndarray, enc: Encoder, most: int):
         self.text = text
-        starts, counts = enc.pieces(text)
         whole = starts
         starts, counts = self._break_long(text, enc, starts, counts, most)
         self.at = np.append(starts, len(text))
-        self.breaks = np.flatnonzero(~np.isin(starts, whole))
+        self.breaks = np.zeros(0, dtype=np.int64) if starts is whole else np.flatnonzero(~np.isin(starts, whole))
         self.sum = np.concatenate([[0], np.cumsum(counts)])
         self._level: dict[int, np.ndarray] = {}
+        self._blank, self._found = self._places()
 
     @staticmethod
     def _break_long(text, enc, starts, counts, most):
@@ -90,23 +93,44 @@ class _Text:
         """Whether a place between a and b lies inside a run of the pattern."""
         return bool(np.searchsorted(self.breaks, a, side="right") < np.searchsorted(self.breaks, b, side="left"))
 
+    def _places(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Which characters are white space, and those before which the first three levels may cut."""
+        c, blank = code_points(self.text)
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], blank, [False]])))
+        a, b = edge[::2], edge[1::2]
+        lines = np.concatenate([[0], np.cumsum(c == 10)])
+        pages = np.concatenate([[0], np.cumsum(c == 12)])
+        n = lines[b] - lines[a]
+        # a heading may follow any line's end
+        heads = np.zeros(len(a), dtype=bool)
+        maybe = np.flatnonzero((n > 0) & (b < len(c)))
+        maybe = maybe[np.isin(c[b[maybe]], _HEADS)]
+        heads[maybe] = [HEADING.match(self.text, i) is not None for i in b[maybe].tolist()]
+        section = a[heads | (pages[b] > pages[a])]
+        # the last sign before a run that closes nothing
+        before = a - 1
+        closing = np.isin(c, _CLOSERS)
+        while (more := (before >= 0) & closing[before]).any():
+            before = np.where(more, before - 1, before)
+        ends = (before >= 0) & np.isin(c[before], _STOPS)
+        full = np.flatnonzero(np.isin(c, _FULL_STOPS)) + 1
+        while (more := (full < len(c)) & closing[np.minimum(full, len(c) - 1)]).any():
+            full = np.where(more, full + 1, full)
+        return blank, [section, a[n > 1], np.union1d(a[ends | (n > 0)], full)]
+
     def cuts(self, level: int) -> np.ndarray:
         """Indices of the starts at which a level may cut."""
         if level not in self._level:
+            last = len(self.at) - 1
             if level == 4:
-                found = np.arange(1, len(self.at) - 1)
+                found = np.arange(1, last)
             elif level == 3:
-                first = [ch.isspace() for ch in map(self.text.__getitem__, self.at[:-1].tolist())]
-                found = np.flatnonzero(first)
+                found = np.flatnonzero(self._blank[self.at[:-1]])
             else:
-                pattern = (SECTION, PARAGRAPH, SENTENCE)[level]
-                # a sentence ends behind its closing quotes, the others before their white space
-                places = np.array(
-                    [m.start() if level < 2 or m.group().isspace() else m.end() for m in pattern.finditer(self.text)], dtype=np.int64
-                )
+                places = self._found[level]
                 found = np.searchsorted(self.at, places)
-                found = found[(found > 0) & (found < len(self.at) - 1) & (self.at[np.minimum(found, len(self.at) - 1)] == places)]
-            self._level[level] = np.unique(found)
+                found = found[(found > 0) & (found < last) & (self.at[np.minimum(found, last)] == places)]
+            self._level[level] = found
         return self._level[level]
 
     def atoms(self, a: int, b: int, level: int, most: int, out: list[tuple[int, str]]) -> None:
@@ -153,22 +177,25 @@ def _begin(t: _Text, count, lo: int, end: int, overlap: int) -> tuple[int, int,
     return lo, first, count(first, b) if first < b else 0
 
 
-def split_text(text: str | None, enc: Encoder, limit: int = LIMIT, overlap: int = OVERLAP) -> list[Piece]:
+def split_text(
+    text: str | None, enc: Encoder, limit: int = LIMIT, overlap: int = OVERLAP, pieces: tuple[int, np.ndarray, np.ndarray] | None = None
+) -> list[Piece]:
     """The pieces of a text in order. A text within the limit is one piece; NULL and empty texts are one of no tokens.
 
     Consecutive pieces overlap by the longest run of whole words at the end of
     the earlier one that has at most `overlap` tokens. Where no word begins there,
     as in Japanese or base64, the overlap begins at a change of character class,
     or inside a long run at a character. No piece exceeds the limit.
+
+    pieces: the text's tokens as Encoder.pieces gives them, where they are known.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be below the limit")
-    if not text:
-        return [Piece(0, 0, 0, 0, "end")]
-    t = _Text(text, enc, limit - overlap)
+    total, starts, counts = pieces or next(enc.pieces([text]))
+    if total <= limit:
+        return [Piece(0, len(text or ""), total, 0, "end")]
+    t = _Text(text, starts, counts, enc, limit - overlap)
     last = len(t.at) - 1
-    if t.sum[last] <= limit:
-        return [Piece(0, len(text), int(t.sum[last]), 0, "end")]
     atoms: list[tuple[int, str]] = []
     t.atoms(0, last, 0, limit - overlap, atoms)
     ends = np.array([e for e, _ in atoms])
@@ -224,8 +251,8 @@ def split_corpus(
         for b in batches:
             texts = b.column(1).to_pylist()
             row, pieces, cut = [], [], []
-            for i, t in enumerate(texts):
-                for n, p in enumerate(split_text(t, e, limit, overlap)):
+            for i, (t, known) in enumerate(zip(texts, list(e.pieces(texts)))):
+                for n, p in enumerate(split_text(t, e, limit, overlap, known)):
                     row.append(i)
                     pieces.append((n, p.start, p.end, p.tokens, p.overlap, p.cut))
                     cut.append(t if t is None else t[p.start : p.end])
