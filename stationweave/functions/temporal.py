@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Date and time of day, extended or basic, optional seconds, fraction and offset. Blanks around it are cut first.
@@ -12,21 +12,20 @@ ISO_INSTANT = (
 )
 
 
-def iso_epoch(text: Column) -> Column:
-    """Epoch seconds (bigint) of an ISO 8601 date with time of day; UTC unless it has an offset.
+def _bare(text: Column) -> Column:
+    return F.upper(F.trim(text))
 
-    NULL for anything else: a bare date, a bare time, words, a day or hour that
-    doesn't exist. 24:00 is the start of the next day. Fractions are cut.
 
-    One regular expression decides whether the text has the form; the parts are
-    then cut out by position. That is several times cheaper than a cast to
-    timestamp and uses no time zone setting.
-    """
-    t = F.upper(F.trim(text))
+def _extended(t: Column) -> Column:
+    """The extended form of a text in basic form; any other stays."""
     basic = F.regexp_replace(
         F.regexp_replace(t, r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})", "$1-$2-$3T$4:$5"), r"^(.{16})(\d{2})", "$1:$2"
     )
-    x = F.when(F.substring(t, 5, 1) == "-", t).otherwise(basic)
+    return F.when(F.substring(t, 5, 1) == "-", t).otherwise(basic)
+
+
+def _epoch(t: Column, x: Column) -> Column:
+    """Epoch seconds of a bare text t, with its extended form x."""
     two = lambda c, at: F.substring(c, at, 2).try_cast("int")
     h, m = two(x, 12), two(x, 15)
     s = F.when(F.substring(x, 17, 1) == ":", two(x, 18)).otherwise(0)
@@ -46,6 +45,35 @@ def iso_epoch(text: Column) -> Column:
     return F.when(ok, F.unix_date(day).cast("bigint") * 86400 + of_day - shift)
 
 
+def iso_epoch(text: Column) -> Column:
+    """Epoch seconds (bigint) of an ISO 8601 date with time of day; UTC unless it has an offset.
+
+    NULL for anything else: a bare date, a bare time, words, a day or hour that
+    doesn't exist. 24:00 is the start of the next day. Fractions are cut.
+
+    One regular expression decides whether the text has the form; the parts are
+    then cut out by position. That is several times cheaper than a cast to
+    timestamp and uses no time zone setting. Over many rows with_epoch is cheaper.
+    """
+    t = _bare(text)
+    return _epoch(t, _extended(t))
+
+
+def with_epoch(df: DataFrame, text: str, name: str = "t", only_valid: bool = False) -> DataFrame:
+    """df with iso_epoch of a text column, worked out once per row; only_valid leaves out rows where it's NULL.
+
+    As a plain column the whole expression would be copied into every filter and
+    key that uses it, and its inner parts into each other. Steps that are used
+    more than once stay projections of their own, and a generator over one value
+    is a border that no filter crosses.
+    """
+    held = [c for c in df.columns if c != name]
+    df = df.withColumn("_bare", _bare(F.col(text)))
+    df = df.withColumn("_extended", _extended(F.col("_bare")))
+    one = F.array(_epoch(F.col("_bare"), F.col("_extended")))
+    return df.select(*held, F.explode(F.array_compact(one) if only_valid else one).alias(name))
+
+
 def epoch_text(seconds: Column, pattern: str = "yyyy-MM-dd HH:00") -> Column:
     """UTC text of epoch seconds for the few patterns used here, without the session's zone."""
     day = F.date_from_unix_date(F.floor(seconds / 86400).cast("int")).cast("string")

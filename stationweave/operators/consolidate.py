@@ -19,10 +19,10 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.temporal import iso_epoch
+from ..functions.temporal import with_epoch
 from ..session import shared_dir
 
 #: What a consolidated file should hold, before compression.
@@ -43,25 +43,23 @@ class Consolidated:
     repeats: DataFrame
 
 
-def record_key(
-    station: str = "station_id", time: str = "obs_time", element: str = "element", value: str = "value_text"
-) -> list[Column]:
-    """Canonical key columns of a record.
+def keyed(fragments: DataFrame) -> DataFrame:
+    """RECORD and the canonical key of each record.
 
     Blanks and letter case of the station id don't count, nor the notation of
     time and number. A time or number that can't be read is compared as text
     without blanks at its ends; NULL equals NULL.
     """
-    number = F.trim(value).try_cast("double")
-    seconds = iso_epoch(F.col(time))
-    return [
-        F.upper(F.regexp_replace(F.col(station), r"\s+", "")).alias("k_station"),
-        seconds.alias("k_time"),
-        F.when(seconds.isNull(), F.trim(time)).alias("k_time_text"),
-        F.trim(element).alias("k_element"),
+    number = F.trim("value_text").try_cast("double")
+    return with_epoch(fragments.select(*RECORD), "obs_time", "k_time").select(
+        *RECORD,
+        F.upper(F.regexp_replace("station_id", r"\s+", "")).alias("k_station"),
+        "k_time",
+        F.when(F.col("k_time").isNull(), F.trim("obs_time")).alias("k_time_text"),
+        F.trim("element").alias("k_element"),
         (number + F.lit(0.0)).alias("k_value"),  # -0.0 becomes 0.0
-        F.when(number.isNull(), F.trim(value)).alias("k_value_text"),
-    ]
+        F.when(number.isNull(), F.trim("value_text")).alias("k_value_text"),
+    )
 
 
 KEYS = ["k_station", "k_time", "k_time_text", "k_element", "k_value", "k_value_text"]
@@ -73,9 +71,7 @@ def first_deliveries(fragments: DataFrame) -> DataFrame:
     A NULL file_id or rec_no counts as lower than any number. Repeated rows with
     the same (file_id, rec_no) come out once.
     """
-    keyed = fragments.select(*RECORD, *record_key())
-    kept = keyed.groupBy(*KEYS).agg(F.min(F.struct(*RECORD)).alias("r"))
-    return kept.select("r.*")
+    return keyed(fragments).groupBy(*KEYS).agg(F.min(F.struct(*RECORD)).alias("r")).select("r.*")
 
 
 def repeats_of(fragments: DataFrame, kept: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.temporal import epoch_text, epoch_year, iso_epoch
+from ..functions.temporal import epoch_text, epoch_year, with_epoch
 
 BUCKET_S = 30 * 86400
 MEASURES = ("temperature_c", "dewpoint_c", "precip_mm")
@@ -37,14 +37,9 @@ def readings(obs: DataFrame, report_types: DataFrame) -> DataFrame:
         .distinct()
     )
     clean = [F.nanvl(F.col(m).cast("double"), F.lit(None).cast("double")).alias(m) for m in MEASURES]
-    rows = obs.select(
-        "station_id", F.upper(F.trim("report_type")).alias("kind"), iso_epoch(F.col("date")).alias("t"), *clean
-    )
-    return (
-        rows.where(F.coalesce(*MEASURES).isNotNull() & F.col("t").isNotNull() & F.col("station_id").isNotNull())
-        .join(kinds, "kind", "left_semi")
-        .select("station_id", "t", *MEASURES)
-    )
+    rows = obs.select("station_id", F.upper(F.trim("report_type")).alias("kind"), "date", *clean)
+    rows = rows.where(F.coalesce(*MEASURES).isNotNull() & F.col("station_id").isNotNull()).join(kinds, "kind", "left_semi")
+    return with_epoch(rows, "date", only_valid=True).select("station_id", "t", *MEASURES)
 
 
 def validity_intervals(rows: DataFrame, hold_s: int = 7200) -> DataFrame:
