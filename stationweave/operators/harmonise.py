@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.temporal import epoch_of, iso_epoch
+from ..functions.temporal import epoch_of, with_epoch
 from ..functions.unit_text import PRECIPITATION, TEMPERATURE, measured, unit_of
 from ..functions.units import TO_DEG_C, TO_MM, convert, to_common
 from ..session import materialise
@@ -212,7 +212,7 @@ _DAY_SEGMENTS = (
 
 def _with_said(days: DataFrame, said: DataFrame) -> DataFrame:
     """Each source's first-listed remarks beside its days, as an array of (unit, from, until)."""
-    list_of = said.groupBy("src", "source", "channel").agg(
+    list_of = said.distinct().groupBy("src", "source", "channel").agg(
         F.collect_list(F.struct("unit_code", "t_from", "t_until")).alias("said")
     )
     return days.join(list_of, ["src", "source", "channel"], "left")
@@ -249,10 +249,10 @@ def _segments(
     changes = spans.where("next_unit IS NOT NULL").select(
         "src", "source", "channel", "unit_code", "next_unit", "day_until", "last_day"
     )
-    changes = _with_said(changes, said)
-    near = rows.join(changes, ["source"]).where(
-        (F.floor(F.col("t") / DAY) >= F.col("last_day") - AROUND) & (F.floor(F.col("t") / DAY) <= F.col("day_until") + AROUND)
-    )
+    # a change meets the readings of its own days only
+    days_near = F.explode(F.sequence(F.col("last_day") - AROUND, F.col("day_until") + AROUND)).alias("day")
+    changes = _with_said(changes, said).select("*", days_near)
+    near = rows.withColumn("day", F.floor(F.col("t") / DAY)).join(changes, ["source", "day"])
     score = lambda unit: sum(
         (F.when(unit == u, evidence(u)).otherwise(0.0) for u in units), F.lit(0.0)
     )
@@ -285,42 +285,56 @@ def _number(c: str) -> Column:
     return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
 
 
-def instant(date: Column, ingested: Column) -> Column:
-    """Epoch seconds of a report; of its arrival where its date can't be read."""
-    return F.coalesce(iso_epoch(date), epoch_of(ingested))
-
-
 def _capped(unit: str) -> Column:
     return F.col(f"t_{unit}") * F.least(F.lit(1.0), F.lit(float(DAY_READINGS)) / F.col("n_temp"))
 
 
-def reading_rows(obs: DataFrame, report_types: DataFrame) -> DataFrame:
-    """(id, source, t, temp, dew, rain): the rows of obs_hourly whose type is a reading, NaN as NULL.
-
-    t is NULL where the date can't be read. Types are compared without letter
-    case and blanks; rows of a NULL type are no readings.
-    """
-    kinds = (
+def _kinds(report_types: DataFrame) -> DataFrame:
+    """The types that are readings, in capitals: a small fixed table."""
+    return (
         report_types.where("is_reading")
         .select(F.upper(F.trim("report_type")).alias("kind"))
         .where("kind IS NOT NULL")
         .distinct()
     )
-    return (
-        obs.select(
-            F.col("obs_id").alias("id"),
-            F.col("station_id").alias("source"),
-            F.upper(F.trim("report_type")).alias("kind"),
-            iso_epoch(F.col("date")).alias("t"),
-            _number("temperature_c").alias("temp"),
-            _number("dewpoint_c").alias("dew"),
-            _number("precip_mm").alias("rain"),
-        )
-        .join(kinds, "kind", "left_semi")
-        .drop("kind")
+
+
+def _measured(obs: DataFrame, *more: Column | str) -> DataFrame:
+    return obs.select(
+        F.col("obs_id").alias("id"),
+        F.col("station_id").alias("source"),
+        F.upper(F.trim("report_type")).alias("kind"),
+        "date",
+        _number("temperature_c").alias("temp"),
+        _number("dewpoint_c").alias("dew"),
+        _number("precip_mm").alias("rain"),
+        *more,
     )
 
 
+def reading_rows(obs: DataFrame, report_types: DataFrame) -> DataFrame:
+    """(id, source, temp, dew, rain, t): the rows of obs_hourly whose type is a reading, NaN as NULL.
+
+    t is NULL where the date can't be read. Types are compared without letter
+    case and blanks; rows of a NULL type are no readings.
+    """
+    return with_epoch(_measured(obs).join(_kinds(report_types), "kind", "left_semi").drop("kind"), "date").drop("date")
+
+
+def hourly_rows(obs: DataFrame, report_types: DataFrame) -> DataFrame:
+    """(id, source, temp, dew, rain, seen, t, reading): all rows of obs_hourly.
+
+    t is the report's time or NULL, seen that time or else the one of its
+    arrival, reading whether its type is a reading.
+    """
+    kinds = _kinds(report_types).withColumn("is_kind", F.lit(True))
+    rows = with_epoch(_measured(obs, "ingested_at").join(kinds, "kind", "left").drop("kind"), "date").drop("date")
+    return rows.select(
+        "id", "source", "temp", "dew", "rain", F.coalesce("t", epoch_of(F.col("ingested_at"))).alias("seen"), "t",
+        F.coalesce("is_kind", F.lit(False)).alias("reading"),
+    )
+
+
 def hourly_segments(readings: DataFrame, daily: DataFrame, said: DataFrame) -> DataFrame:
     """Stretches of obs_hourly records in a unit other than °C or mm: SEGMENTS.
 
@@ -460,8 +474,8 @@ def read_texts(reports: DataFrame) -> DataFrame:
 
     unit_code is what the text names, else what the station's other texts of the
     field name most often (ties: the code first in order), else what the
-    magnitude allows: a bare temperature above 200 is kelvin, above 60 °F, other
-    bare values are in the field's own unit.
+    station's median allows: a bare temperature is kelvin where that is above 200,
+    °F above 45; other bare values are in the field's own unit.
     """
     fields = {"temp_text": TEMPERATURE, "precip_text": PRECIPITATION}
     long = reports.select(
@@ -511,16 +525,15 @@ def foreign_values(
 ) -> DataFrame:
     """(src_table, row_id, field_name, unit_code, value, common): every value in a unit other than its field's.
 
-    common is the value in °C or mm. Missing values, words without a number and
+    hourly: hourly_rows, best written out before. common is the value in °C or mm. Missing values, words without a number and
     zero precipitation are no values here.
     """
 
-    def bare(df: DataFrame, src: str, key: str, source: str, t: Column, fields: dict[str, str], cuts: DataFrame) -> DataFrame:
+    def bare(df: DataFrame, src: str, fields: dict[str, tuple[str, str]], cuts: DataFrame) -> DataFrame:
         here = cuts.select("source", "channel", "unit_code", "t_from", "t_until")
-        kept = [F.struct(F.lit(ch).alias("channel"), F.lit(f).alias("field_name"), _number(f).alias("value")) for f, ch in fields.items()]
-        rows = df.select(F.col(source).alias("source"), F.col(key).alias("row_id"), t.alias("t"), F.array(*kept).alias("x"))
-        rows = rows.join(here.select("source").distinct(), "source", "left_semi")
-        rows = rows.select("source", "row_id", "t", F.inline("x")).where(
+        kept = [F.struct(F.lit(ch).alias("channel"), F.lit(f).alias("field_name"), F.col(c).alias("value")) for c, (f, ch) in fields.items()]
+        rows = df.join(here.select("source").distinct(), "source", "left_semi")
+        rows = rows.select("source", "row_id", "t", F.inline(F.array(*kept))).where(
             F.col("value").isNotNull() & ((F.col("channel") == TEMPERATURE) | (F.col("value") != 0))
         )
         hit = rows.join(here, ["source", "channel"]).where("t >= t_from AND t < t_until")
@@ -530,12 +543,13 @@ def foreign_values(
         )
 
     a = bare(
-        hourly, "obs_hourly", "obs_id", "station_id", instant(F.col("date"), F.col("ingested_at")),
-        {"temperature_c": TEMPERATURE, "precip_mm": PRECIPITATION}, hourly_stretches,
+        hourly.select("source", F.col("id").alias("row_id"), F.col("seen").alias("t"), "temp", "rain"), "obs_hourly",
+        {"temp": ("temperature_c", TEMPERATURE), "rain": ("precip_mm", PRECIPITATION)}, hourly_stretches,
     )
+    at = epoch_of(F.col("timestamp_utc")).alias("t")
     b = bare(
-        minute, "obs_1min", "min_id", "wban", epoch_of(F.col("timestamp_utc")),
-        {"temp_f": TEMPERATURE, "precip_in": PRECIPITATION}, minute_stretches,
+        minute.select(F.col("wban").alias("source"), F.col("min_id").alias("row_id"), at, _number("temp_f").alias("temp"), _number("precip_in").alias("rain")),
+        "obs_1min", {"temp": ("temp_f", TEMPERATURE), "rain": ("precip_in", PRECIPITATION)}, minute_stretches,
     )
     own = F.when(F.col("field_name") == "temp_text", "degC").otherwise("mm")
     c = (

@@ -28,16 +28,22 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Readings that can't be their station's weather."""
     rows = _readings(spark, d)
     stretches = materialise(harmonise.hourly_segments(rows, read(spark, d, "obs_daily"), _remarks(spark, d)))
-    bad = spikes.bad_readings(materialise(harmonise.in_common_units(rows, stretches)))
+    bad = spikes.bad_readings(harmonise.in_common_units(rows, stretches))
     return bad.select(F.col("id").alias("obs_id"), "field_name")
 
 
 def _foreign(spark: SparkSession, d: str) -> DataFrame:
     said = _remarks(spark, d)
-    hourly = materialise(harmonise.hourly_segments(_readings(spark, d), read(spark, d, "obs_daily"), said))
+    rows = materialise(
+        harmonise.hourly_rows(
+            read(spark, d, "obs_hourly", "obs_id", "station_id", "date", "report_type", "ingested_at", *regular_grid.MEASURES),
+            read(spark, d, "report_types"),
+        )
+    )
+    hourly = materialise(harmonise.hourly_segments(rows.where("reading"), read(spark, d, "obs_daily"), said))
     minute = materialise(harmonise.minute_segments(read(spark, d, "obs_1min"), said))
     return harmonise.foreign_values(
-        read(spark, d, "obs_hourly", "obs_id", "station_id", "date", "ingested_at", "temperature_c", "precip_mm"),
+        rows,
         hourly,
         read(spark, d, "obs_1min", "min_id", "wban", "timestamp_utc", "temp_f", "precip_in"),
         minute,
