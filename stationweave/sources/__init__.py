@@ -1 +1 @@
-"""Empty: readers of raw formats and writers aren't written yet (README, What is missing)."""
+"""Readers of the raw formats: text lines, delimited files, listings, archives, file trees, and a remote table."""

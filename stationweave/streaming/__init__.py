@@ -1 +1 @@
-"""Empty: incremental and streaming processing isn't written yet (README, What is missing)."""
+"""Incremental refresh on the file source's checkpoint, and event-time windows."""
