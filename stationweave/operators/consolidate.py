@@ -8,9 +8,10 @@
 3. A REBALANCE hint shuffles the kept rows round-robin; with adaptive execution
    the runtime sizes of the shuffle blocks merge or split output partitions
    towards the target size.
-4. The files are written to a staging folder, read back, and committed by one
-   rename only if count and multiset checksum (sum and xor of row hashes) equal
-   those of the rows that were meant to be written.
+4. The files are written to a staging folder, read back, and committed by renames
+   only if count and multiset checksum (sum and xor of row hashes) equal those of
+   the rows that were meant to be written. What was there before is set aside,
+   not deleted, until the new files have its name.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.temporal import with_epoch
-from ..session import shared_dir
+from ..session import publish, shared_dir
 
 #: What a consolidated file should hold, before compression.
 TARGET_BYTES = 128_000_000
@@ -134,7 +135,8 @@ def consolidate(
 
     path defaults to a new folder of the shared scratch space. Raises
     ChecksumMismatch and leaves path untouched when the files read back differ
-    from the rows meant. An empty input gives an empty table.
+    from the rows meant. An empty input gives an empty table. The files are
+    written before this returns.
     """
     spark = fragments.sparkSession
     path = path or shared_dir(spark)
@@ -146,13 +148,7 @@ def consolidate(
     meant, found = multiset_checksum(kept), multiset_checksum(written)
     if meant != found:
         raise ChecksumMismatch(f"meant {meant}, found {found}; {path} is unchanged")
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(at):
-        fs.delete(at, True)
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(staging), at):
-        raise OSError(f"{staging} can't be renamed to {path}")
+    publish(spark, staging, path)
     kept = spark.read.schema(kept.schema).parquet(path)
     return Consolidated(path, found[0], kept, repeats_of(fragments, kept))
 
@@ -168,7 +164,7 @@ def small_files(inventory: DataFrame, small_bytes: int = 1_000_000) -> DataFrame
         inventory.where(F.col("file_size_bytes") <= small_bytes)
         .groupBy("file_id")
         .agg(
-            F.min(F.lower(tidy)).alias("path"),
+            F.min(tidy).alias("path"),
             F.min("file_size_bytes").alias("file_size_bytes"),
             F.min(F.upper("station_id_raw")).alias("station_id_raw"),
             F.min("source").alias("source"),

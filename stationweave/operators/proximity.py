@@ -7,8 +7,12 @@ equi-join; the crossings of a ray towards the east are summed by point and
 region; an odd number means inside. A point on an edge or corner is found by its
 own test and counts as inside.
 
-"Within a distance" is the same join with a polygon around each circle, followed
-by the exact great-circle distance.
+Small regions and whole countries get along in one join: the height of the strips
+doubles from level to level, and a region uses the level at which it spans a few
+strips only. Points carry a row for each level.
+
+"Within a distance" is the same join with a polygon around each circle, all on
+one level, followed by the exact great-circle distance.
 """
 
 from __future__ import annotations
@@ -22,22 +26,27 @@ from ..functions.geo import EARTH_KM, great_circle_km, has_place
 
 #: Corners of the polygon around a circle.
 CORNERS = 8
+#: Height of the strips of level 0 in degrees, number of levels, and strips that a region spans at its own level, about.
+STRIP_DEG, LEVELS, STRIPS = 0.05, 9, 16
 
 
-def _cells_in(strip: Column, height: float) -> Column:
+def _cells_in(strip: Column, height: Column) -> Column:
     """Number of longitude cells of a latitude strip: about as wide as high."""
-    poleward = F.greatest(F.abs(strip), F.abs(strip + 1)) * F.lit(height)
+    poleward = F.greatest(F.abs(strip), F.abs(strip + 1)) * height
     wide = F.cos(F.radians(F.least(poleward, F.lit(90.0))))
-    return F.greatest(F.floor(F.lit(360.0 / height) * wide), F.lit(1))
+    return F.greatest(F.floor(F.lit(360.0) / height * wide), F.lit(1))
 
 
 def _cell(lon: Column, cells: Column) -> Column:
     return F.floor((lon + 180.0) / F.lit(360.0) * cells)
 
 
-def points_in_regions(points: DataFrame, regions: DataFrame, strip_deg: float = 0.05) -> DataFrame:
+def points_in_regions(points: DataFrame, regions: DataFrame, strip_deg: float | None = None) -> DataFrame:
     """(region columns, point columns) of every point that lies in a region, its boundary included.
 
+    strip_deg: one height of strips for all, where all regions are about as
+    high; left out, each region uses the level that suits it.
+
     points: any columns besides x (longitude) and y (latitude), both finite.
     regions: any columns besides ring, an array of struct<x,y> of corners in
     order, not closed; longitudes may run past ±180, then a shifted copy is
@@ -73,8 +82,15 @@ def points_in_regions(points: DataFrame, regions: DataFrame, strip_deg: float =
             F.element_at("ring", (i + 1) % n + 1)["y"].alias("y2"),
         ),
     )
-    h = F.lit(strip_deg)
     r = r.withColumns({"_edges": edges, "_x0": F.col("_x0") + F.col("_shift"), "_x1": F.col("_x1") + F.col("_shift")})
+    if strip_deg is None:
+        tall = F.array_max(F.transform("ring", lambda v: v["y"])) - F.array_min(F.transform("ring", lambda v: v["y"]))
+        level = F.ceil(F.log2(F.greatest(tall / F.lit(STRIP_DEG * STRIPS), F.lit(1.0)))).cast("int")
+        r = r.withColumn("_level", F.least(level, F.lit(LEVELS - 1)))
+        points = points.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+    else:
+        r, points = r.withColumn("_level", F.lit(0)), points.withColumn("_level", F.lit(0))
+    h = F.lit(strip_deg or STRIP_DEG) * F.pow(F.lit(2.0), F.col("_level"))
     r = r.withColumn(
         "_strip",
         F.explode(
@@ -93,7 +109,7 @@ def points_in_regions(points: DataFrame, regions: DataFrame, strip_deg: float =
             & (F.floor(F.greatest(e["y1"], e["y2"]) / h) >= F.col("_strip")),
         ),
     ).withColumn("_n", F.size("_edges"))
-    cells = _cells_in(F.col("_strip"), strip_deg)
+    cells = _cells_in(F.col("_strip"), h)
     r = r.withColumn(
         "_cell",
         F.explode(
@@ -103,12 +119,12 @@ def points_in_regions(points: DataFrame, regions: DataFrame, strip_deg: float =
             )
         ),
     )
-    r = r.withColumn("_e", F.explode("_edges")).select(*keep, "_shift", "_x0", "_x1", "_strip", "_cell", "_n", "_e.*")
+    r = r.withColumn("_e", F.explode("_edges")).select(*keep, "_shift", "_x0", "_x1", "_level", "_strip", "_cell", "_n", "_e.*")
 
-    mine = [c for c in points.columns]
+    mine = [c for c in points.columns if c != "_level"]
     strip = F.floor(F.col("y") / h)
-    p = points.withColumn("_strip", strip).withColumn("_cell", _cell(F.col("x"), _cells_in(F.col("_strip"), strip_deg)))
-    j = r.join(p, ["_strip", "_cell"]).where(F.col("x").between(F.col("_x0"), F.col("_x1")))
+    p = points.withColumn("_strip", strip).withColumn("_cell", _cell(F.col("x"), _cells_in(F.col("_strip"), h)))
+    j = r.join(p, ["_level", "_strip", "_cell"]).where(F.col("x").between(F.col("_x0"), F.col("_x1")))
     x, y, x1, y1, x2, y2 = (F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2"))
     cross = ((y1 > y) != (y2 > y)) & (x < x1 + F.try_divide((y - y1) * (x2 - x1), y2 - y1))
     on_edge = (

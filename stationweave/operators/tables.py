@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialise, shared_dir
+from ..session import materialise, publish, shared_dir
 from .crosswalk import first_rows
 
 
@@ -117,24 +117,11 @@ def without(held: DataFrame, column: str, value: str) -> DataFrame:
 
 
 def replace_table(df: DataFrame, path: str) -> DataFrame:
-    """Make a stored table anew from a query that may read it: written beside it, then swapped by renames.
-
-    At any time the old or the new table is whole: the old one is renamed, not
-    deleted, before the new one takes its name, and removed last.
-    """
+    """Make a stored table anew from a query that may read it: written beside it, then swapped by renames."""
     spark = df.sparkSession
-    staged, old = f"{path.rstrip('/')}__new", f"{path.rstrip('/')}__old"
+    staged = f"{path.rstrip('/')}__new"
     df.write.mode("overwrite").parquet(staged)
-    jvm = spark.sparkContext._jvm
-    p = lambda x: jvm.org.apache.hadoop.fs.Path(x)
-    fs = p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(p(old), True)
-    if fs.exists(p(path)) and not fs.rename(p(path), p(old)):
-        raise OSError(f"{path} can't be set aside")
-    if not fs.rename(p(staged), p(path)):
-        fs.rename(p(old), p(path))
-        raise OSError(f"{staged} can't be renamed to {path}")
-    fs.delete(p(old), True)
+    publish(spark, staged, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

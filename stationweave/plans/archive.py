@@ -334,7 +334,7 @@ def membership_join(spark: SparkSession, d: str) -> DataFrame:
     return m.select("ncei_id", "asos_1min_files", "asos_1min_start", "asos_1min_end")
 
 
-@_query("""SELECT cov_id, station_id_raw FROM station_coverage_geo c WHERE NOT EXISTS (SELECT 1 FROM (SELECT regexp_replace(trim(ghcnd_ids), '\s*[|]\s*', '|', 'g') AS ghcnd_ids FROM master_station_list) m WHERE m.ghcnd_ids IS NOT NULL AND
+@_query("""SELECT cov_id, station_id_raw FROM station_coverage_geo c WHERE NOT EXISTS (SELECT 1 FROM (SELECT regexp_replace(trim(ghcnd_ids), '\\s*[|]\\s*', '|', 'g') AS ghcnd_ids FROM master_station_list) m WHERE m.ghcnd_ids IS NOT NULL AND
     (m.ghcnd_ids = c.station_id_raw OR starts_with(m.ghcnd_ids, c.station_id_raw || '|') OR ends_with(m.ghcnd_ids, '|' || c.station_id_raw) OR contains(m.ghcnd_ids, '|' || c.station_id_raw || '|')))""")
 def orphans(spark: SparkSession, d: str) -> DataFrame:
     """Coverage rows whose id is in no station's list."""

@@ -123,7 +123,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_grid(spark: SparkSession, d: str) -> DataFrame:
     """The hourly series itself."""
-    return _grid(spark, d)
+    return _grid(spark, d).withColumns({c: F.round(c, 4) + F.lit(0.0) for c in ("coverage", *regular_grid.MEASURES)})
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -136,6 +136,17 @@ def p6_distances(spark: SparkSession, d: str) -> DataFrame:
     return _near(spark, d).withColumn("distance_km", F.round("distance_km", 6))
 
 
+def p6_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage rows in the region of each state: the quadrilateral that its stations span, its border included."""
+    m = read(spark, d, "master_station_list", "state", "lat_dec", "lon_dec").where("state IS NOT NULL AND NOT isnan(lat_dec) AND NOT isnan(lon_dec)")
+    m = m.where("lat_dec BETWEEN 17 AND 72 AND lon_dec BETWEEN -180 AND -65")
+    span = m.groupBy("state").agg(*[f(c).alias(n) for f, c, n in ((F.min, "lon_dec", "w"), (F.max, "lon_dec", "e"), (F.min, "lat_dec", "s"), (F.max, "lat_dec", "n"))])
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    regions = span.select("state", F.array(corner("w", "s"), corner("w", "n"), corner("e", "n"), corner("e", "s")).alias("ring"))
+    points = read(spark, d, "station_coverage_geo", "cov_id", F.col("lon").alias("x"), F.col("lat").alias("y")).where("x BETWEEN -180 AND 180 AND y BETWEEN -90 AND 90")
+    return proximity.points_in_regions(points, regions).select("state", "cov_id")
+
+
 def _near(spark: SparkSession, d: str) -> DataFrame:
     return proximity.within_distance(
         read(spark, d, "master_station_list", "ncei_id", "lat_dec", "lon_dec"),
@@ -152,7 +163,7 @@ def _near(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p2_found, p2_converted, p2_report_values, p3_found, p3_consolidated, p3_merge_plan, p4_found, p5_found, p5_grid, p6_found, p6_distances)
+    for f in (p1_found, p2_found, p2_converted, p2_report_values, p3_found, p3_consolidated, p3_merge_plan, p4_found, p5_found, p5_grid, p6_found, p6_distances, p6_regions)
 }
 
 _PLACE = "{0} BETWEEN -90 AND 90 AND {1} BETWEEN -180 AND 180 AND NOT isnan({0}) AND NOT isnan({1}) AND NOT ({0} = 0 AND {1} = 0)"
@@ -196,6 +207,20 @@ SELECT source, subfolder, count(*) AS files_before, CAST(sum(n) AS BIGINT) AS by
     "p5_found": f"""WITH {_HOURS}
 SELECT station_id, strftime(make_timestamp(h * 3600000000), '%Y-%m-%d %H:00') AS hour_utc
 FROM grid ANTI JOIN dated USING (station_id, h)""",
+    "p5_grid": f"""WITH {_HOURS}, rd AS (SELECT station_id, CAST(floor(epoch(try_cast(regexp_replace(upper(trim(date)), '^(\\d{{4}})(\\d{{2}})(\\d{{2}})T(\\d{{2}})(\\d{{2}})(\\d{{2}})', '\\1-\\2-\\3T\\4:\\5:\\6') AS TIMESTAMPTZ))) AS BIGINT) AS t,
+    {", ".join(f"CASE WHEN NOT isnan({m}) THEN CAST({m} AS DOUBLE) END AS {m}" for m in regular_grid.MEASURES)} FROM obs_hourly
+    WHERE station_id IS NOT NULL AND upper(trim(report_type)) IN (SELECT upper(trim(report_type)) FROM report_types WHERE is_reading) AND regexp_full_match(upper(trim(date)), '(\\d{{4}}-\\d\\d-\\d\\d[T ]\\d\\d:\\d\\d.*|\\d{{8}}T\\d{{6}}.*)')),
+st AS (SELECT station_id, t, {", ".join(f"avg({m}) AS {m}" for m in regular_grid.MEASURES)} FROM rd WHERE t IS NOT NULL AND ({" OR ".join(f"{m} IS NOT NULL" for m in regular_grid.MEASURES)}) GROUP BY ALL),
+iv AS (SELECT *, least(coalesce(lead(t) OVER (PARTITION BY station_id ORDER BY t), t + 7200), t + 7200) AS t_end FROM st),
+pc AS (SELECT *, unnest(range(t // 3600, (t_end - 1) // 3600 + 1)) AS cell FROM iv),
+ls AS (SELECT *, least(t_end, cell * 3600 + 3600) - greatest(t, cell * 3600) AS len, t // 3600 = cell AS own FROM pc),
+cl AS (SELECT station_id, cell, count(*) FILTER (WHERE own) AS n, sum(len) / 3600.0 AS coverage, {", ".join(f"sum({m} * len) / sum(CASE WHEN {m} IS NOT NULL THEN len END) AS {m}" for m in regular_grid.MEASURES)} FROM ls GROUP BY ALL)
+SELECT g.station_id, g.h AS cell, strftime(make_timestamp(g.h * 3600000000), '%Y-%m-%d %H:%M') AS cell_start, coalesce(n, 0) AS n_readings, round(coalesce(coverage, 0), 4) + 0.0 AS coverage,
+    {", ".join(f"round({m}, 4) + 0.0 AS {m}" for m in regular_grid.MEASURES)}, CASE WHEN n > 0 THEN 'observed' WHEN coverage > 0 THEN 'held' ELSE 'missing' END AS status
+FROM grid g LEFT JOIN cl ON cl.station_id = g.station_id AND cl.cell = g.h""",
+    "p6_regions": """WITH s AS (SELECT state, min(lon_dec) AS w, max(lon_dec) AS e, min(lat_dec) AS s, max(lat_dec) AS n FROM master_station_list WHERE state IS NOT NULL AND NOT isnan(lat_dec) AND NOT isnan(lon_dec)
+    AND lat_dec BETWEEN 17 AND 72 AND lon_dec BETWEEN -180 AND -65 GROUP BY state HAVING count(*) > 0)
+SELECT DISTINCT state, cov_id FROM s JOIN (SELECT cov_id, lat AS y, lon AS x FROM station_coverage_geo WHERE lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90) ON x BETWEEN w AND e AND y BETWEEN s AND n""".replace("BETWEEN s AND n", "BETWEEN s.s AND s.n"),
     "p6_found": f"SELECT ncei_id, cov_id FROM ({_NEAR})",
     "p6_distances": f"SELECT ncei_id, cov_id, round(distance_km, 6) AS distance_km FROM ({_NEAR})",
 }

@@ -43,7 +43,34 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
         root = "file://" + os.path.join(tempfile.gettempdir(), "stationweave")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written out so far; tables that still read it can't be used any more."""
+    at, fs = _file_system(spark, shared_dir(spark).rpartition("/")[0])
+    fs.delete(at, True)
+
+
+def publish(spark: SparkSession, staged: str, path: str) -> None:
+    """Give a written folder its name. At any time the old one or the new one is whole, under path or path__old."""
+    new, fs = _file_system(spark, staged)
+    at, _ = _file_system(spark, path)
+    old, _ = _file_system(spark, f"{path.rstrip('/')}__old")
+    if fs.exists(at):
+        fs.delete(old, True)
+        if not fs.rename(at, old):
+            raise OSError(f"{path} can't be set aside")
+    if not fs.rename(new, at):
+        if fs.exists(old):
+            fs.rename(old, at)
+        raise OSError(f"{staged} can't be renamed to {path}")
+    fs.delete(old, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:
