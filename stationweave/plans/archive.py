@@ -660,21 +660,12 @@ def minute_lines(spark: SparkSession, d: str) -> DataFrame:
     text = lambda c, n: F.coalesce(F.when(~F.isnan(c), F.round(c, n).cast(f"decimal(12,{n})").cast("string")), F.lit("M"))
     local = F.date_format(F.expr("timestamp_utc - INTERVAL 5 HOURS"), "yyyyMMddHHmm")
     word = F.concat(F.substring("icao", 2, 3), local, F.date_format("timestamp_utc", "HHmm"))
-    line = F.concat_ws(" ", F.concat("wban", "icao"), word, "precip_id", text("precip_in", 2), F.col("min_id").cast("string"), F.lit("x 29.90 29.90"), F.lit("x"), text("temp_f", 1), text("dew_f", 1))
-    # the number of the row stands where a second precipitation would, so the parser must take the first: it is no number
-    line = F.regexp_replace(line, r"^((?:\S+ ){4})(\d+) ", "$1#$2 ")
-    rows = fixed.minute_lines(o.select(line.alias("value")))
-    got = o.select("min_id", "wban", "icao", "timestamp_utc", "precip_id", text("precip_in", 2).alias("_p"), text("temp_f", 1).alias("_t"), text("dew_f", 1).alias("_d"))
-    keys = ["wban", "icao", "timestamp_utc", "precip_id"]
-    number = lambda c: F.nullif(c, F.lit("M")).try_cast("double")
-    both = got.withColumns({"precip_in": number(F.col("_p")), "temp_f": number(F.col("_t")), "dew_f": number(F.col("_d"))})
-    same = rows.distinct().withColumn("_same", F.lit(True))
-    values = ["precip_in", "temp_f", "dew_f"]
-    cond = None
-    for c in (*keys, *values):
-        x = both[c].eqNullSafe(same[c])
-        cond = x if cond is None else cond & x
-    return _r(both.join(same, cond, "left_semi").select("min_id", *keys, *values), *values, n=2)
+    # the third word also carries the row's number; the fifth is no number, so precipitation is the fourth
+    kind = F.concat("precip_id", F.lit("#"), F.col("min_id").cast("string"))
+    line = F.concat_ws(" ", F.concat("wban", "icao"), word, kind, text("precip_in", 2), F.lit("x 39.9 29.90 29.90 x"), text("temp_f", 1), text("dew_f", 1))
+    p = F.split("precip_id", "#")
+    rows = fixed.minute_lines(o.select(line.alias("value"))).withColumns({"min_id": F.get(p, F.lit(1)).cast("bigint"), "precip_id": F.get(p, F.lit(0))})
+    return _r(rows.select("min_id", "wban", "icao", "timestamp_utc", "precip_id", "precip_in", "temp_f", "dew_f"), "precip_in", "temp_f", "dew_f", n=2)
 
 
 @_query("""WITH w AS (SELECT DISTINCT station, date, CASE WHEN NOT isnan(prcp) THEN CAST(round(prcp * 10) AS INT) END AS a, CASE WHEN NOT isnan(tmax) THEN CAST(round(tmax) AS INT) END AS b FROM obs_daily WHERE station IS NOT NULL AND date IS NOT NULL)

@@ -8,6 +8,7 @@ import os
 import tarfile
 import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -33,10 +34,14 @@ def partitioned(spark: SparkSession, root: str, schema: StructType) -> DataFrame
 def tree(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """(filepath, filename, modified, file_size_bytes) of all files under root, without their contents.
 
-    Folders named in SKIPPED are left out.
+    Folders named in SKIPPED are left out. Empty files have no time: a scan skips
+    them, so they are taken from the list of files that the scan was planned with.
     """
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    df = df.select(F.col("path").alias("filepath"), F.col("modificationTime").alias("modified"), F.col("length").alias("file_size_bytes"))
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    listed = spark.createDataFrame([(unquote(p),) for p in scan.inputFiles()], "filepath string").select(plain("filepath").alias("filepath"))
+    found = scan.select(plain("path").alias("filepath"), F.col("modificationTime").alias("modified"), F.col("length").alias("file_size_bytes"))
+    df = listed.join(found, "filepath", "left").withColumn("file_size_bytes", F.coalesce("file_size_bytes", F.lit(0)))
     skipped = "|".join(s.replace(".", r"\.") for s in SKIPPED)
     return df.where(~F.col("filepath").rlike(f"/({skipped})/")).select(
         "filepath", F.element_at(F.split("filepath", "/"), -1).alias("filename"), "modified", "file_size_bytes"

@@ -34,7 +34,7 @@ def lines(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", s
     """
     if encoding.upper() == "UTF-8" and not skip:
         return spark.read.text(path)
-    text = F.decode(F.col("content"), F.lit(encoding))
+    text = F.decode("content", encoding)
     whole = spark.read.format("binaryFile").load(path).select(F.split(text, r"\r?\n").alias("all"))
     kept = F.slice("all", F.lit(skip + 1), F.greatest(F.size("all") - skip, F.lit(0)))
     return whole.select(F.explode(kept).alias("value")).where("value != ''")

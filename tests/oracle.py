@@ -4,7 +4,6 @@ import glob
 import os
 
 import duckdb
-import pandas as pd
 
 
 def connection(folder: str):
@@ -16,7 +15,7 @@ def connection(folder: str):
 
 
 def text(v) -> str:
-    if v is None or v is pd.NA or v != v:
+    if v is None or v != v:
         return ""
     if isinstance(v, float):
         return repr(v + 0.0)
@@ -25,6 +24,13 @@ def text(v) -> str:
     return str(v)
 
 
-def rows(pdf):
-    columns = sorted(pdf.columns)
-    return columns, sorted(tuple(text(v) for v in r) for r in pdf[columns].astype(object).itertuples(index=False))
+def rows(table):
+    """Columns and sorted rows of an Arrow table."""
+    columns = sorted(table.column_names)
+    return columns, sorted(tuple(text(r[c]) for c in columns) for r in table.to_pylist())
+
+
+def sql_rows(con, sql: str):
+    names = [c[0] for c in con.execute(sql).description]
+    columns = sorted(names)
+    return columns, sorted(tuple(text(dict(zip(names, r))[c]) for c in columns) for r in con.fetchall())

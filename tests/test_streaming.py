@@ -34,7 +34,8 @@ def test_files_once_and_redelivery(spark, tmp_path):
 
     def run():
         refresh.refresh(spark, str(drop), target, f"{tmp_path}/cp", parse, ["year"], "station", after=lambda rows, n: seen.append(rows.count())).awaitTermination()
-        return sorted(tuple(r) for r in spark.read.parquet(target).select("station", "year", "v").collect())
+        table = spark.read.schema("station string, v double, year int").parquet(target)
+        return sorted(tuple(r) for r in table.select("station", "year", "v").collect())
 
     (drop / "1.txt").write_text("a,2023,1\nb,2023,2\na,2024,3\n")
     assert run() == [("a", 2023, 1.0), ("a", 2024, 3.0), ("b", 2023, 2.0)]
