@@ -437,9 +437,10 @@ s AS (SELECT l.*, CAST(CASE WHEN dd THEN coalesce(yd.a, 1950) ELSE 1950 END AS I
     FROM loaded l LEFT JOIN yd USING (ncei_id) LEFT JOIN yh USING (ncei_id) LEFT JOIN ym USING (ncei_id))"""
 
 
-def _stations(spark: SparkSession, d: str) -> selection.Stations:
+def _stations(spark: SparkSession, d: str, years: bool = False) -> selection.Stations:
+    """Usable stations; with the inventories' years where a query asks for years."""
     m = read(spark, d, "master_station_list").where("NOT isnan(lat_dec) AND NOT isnan(lon_dec)")
-    return selection.Stations(selection.load(m, _inventories(spark, d)))
+    return selection.Stations(selection.load(m, _inventories(spark, d) if years else {}))
 
 
 @_query(f"""WITH {_YEARS} SELECT ncei_id, d1 AS daily_start_year, d2 AS daily_end_year, h1 AS hourly_start_year, h2 AS hourly_end_year, m1 AS "1min_start_year", m2 AS "1min_end_year",
@@ -449,7 +450,7 @@ def _stations(spark: SparkSession, d: str) -> selection.Stations:
 def station_years(spark: SparkSession, d: str) -> DataFrame:
     """Usable stations with the years of each resolution and their finest resolution."""
     years = [f"{r}_{s}_year" for r in ("daily", "hourly", "1min") for s in ("start", "end")]
-    return _stations(spark, d).df.select("ncei_id", *years, "data_start", "data_end", "dominant_res")
+    return _stations(spark, d, years=True).df.select("ncei_id", *years, "data_start", "data_end", "dominant_res")
 
 
 @_query("""SELECT ncei_id, CASE WHEN coalesce(has_asos_1min, FALSE) THEN '1min' WHEN coalesce(has_ncei_15min, FALSE) THEN '15min' WHEN coalesce(has_asos_isd, FALSE) THEN 'hourly'
@@ -463,7 +464,7 @@ def dominant_resolution(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"WITH {_YEARS} SELECT ncei_id FROM s WHERE (dd AND d1 <= 2022 AND d2 >= 2021) OR (m AND m1 <= 2022 AND m2 >= 2021)")
 def year_overlap_filter(spark: SparkSession, d: str) -> DataFrame:
     """Stations with daily or one-minute data of 2021 or 2022."""
-    return _stations(spark, d).with_data(["daily", "1min"], 2021, 2022).df.select("ncei_id")
+    return _stations(spark, d, years=True).with_data(["daily", "1min"], 2021, 2022).df.select("ncei_id")
 
 
 _PICKED = "WITH " + _LOADED + " SELECT ncei_id FROM loaded WHERE "
