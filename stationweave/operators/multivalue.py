@@ -9,6 +9,7 @@ run of characters, so a delimiter inside a legitimate value ("N/A",
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -148,13 +149,13 @@ def _hits(automaton, text: str) -> list[tuple[int, int]]:
     return [(end + 1 - n, end + 1) for end, n in automaton.iter(text)] if len(automaton) else []
 
 
-def _boundary_spans(text: str) -> list[tuple[int, int, str]]:
-    """All stretches between two boundaries of a field, as segment() sees them: the candidates of the join."""
+def _boundary_spans(text: str, longest: int) -> list[tuple[int, int, str]]:
+    """The stretches between two boundaries of a field, as segment() sees them, of at most `longest` characters: the candidates of the join."""
     a, b = _bare(text)
     cut = set(DELIMITERS + BLANKS)
     starts = [i for i in range(a, b) if i == a or text[i - 1] in cut]
     ends = [j for j in range(a + 1, b + 1) if j == b or text[j] in cut]
-    return [(i, j, text[i:j]) for i in starts for j in ends if i < j]
+    return [(i, j, text[i:j]) for i in starts for j in ends[bisect_right(ends, i) : bisect_right(ends, i + longest)]]
 
 
 def split_fields(
@@ -199,9 +200,11 @@ def split_fields(
         out = long
     else:
         texts = long.select("text").distinct()
+        # no known value is longer, so a field's candidates grow with its length, not with its square
+        longest = max(int(words.agg(F.max(F.length("value"))).first()[0]), *map(len, ALWAYS_KNOWN))
         candidates = texts.mapInPandas(
             lambda bs: (
-                pd.DataFrame([(t, i, j, v) for t in b["text"] for i, j, v in _boundary_spans(t)], columns=["text", "i", "j", "value"])
+                pd.DataFrame([(t, i, j, v) for t in b["text"] for i, j, v in _boundary_spans(t, longest)], columns=["text", "i", "j", "value"])
                 for b in bs
             ),
             "text string, i int, j int, value string",

@@ -93,7 +93,8 @@ def in_buckets(rows: DataFrame) -> DataFrame:
     """(source, bucket, own, t, id, measures): every dated reading in its bucket, and in the next one whose border is within a day.
 
     Implausible values are left out, so that they are nobody's neighbour.
-    Partitions hold whole buckets, in order.
+    Partitions hold whole buckets, in order. However much one source has, a
+    bucket has at most the seconds of its 30 days, times their deliveries.
     """
     clean = [F.when(plausible(F.col(m), m), F.col(m)).alias(m) for m in MEASURES]
     at = lambda s: F.floor((F.col("t") + s) / BUCKET_S).cast("bigint")

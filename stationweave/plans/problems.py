@@ -77,6 +77,12 @@ def p3_consolidated(spark: SparkSession, d: str) -> DataFrame:
     return consolidate.consolidate(read(spark, d, "file_fragments", *consolidate.RECORD), target_bytes=consolidate.TARGET_BYTES).kept
 
 
+def p3_files(spark: SparkSession, d: str) -> DataFrame:
+    """The consolidated files: how many records and bytes each holds."""
+    kept = p3_consolidated(spark, d).select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_size").alias("file_bytes"))
+    return kept.groupBy("file_name", "file_bytes").agg(F.count(F.lit(1)).alias("records"))
+
+
 def p3_merge_plan(spark: SparkSession, d: str) -> DataFrame:
     """How many small files each part of the archive has, and how many files of 128 MB would do."""
     return consolidate.merge_plan(read(spark, d, "file_inventory"))
@@ -163,7 +169,7 @@ def _near(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p2_found, p2_converted, p2_report_values, p3_found, p3_consolidated, p3_merge_plan, p4_found, p5_found, p5_grid, p6_found, p6_distances, p6_regions)
+    for f in (p1_found, p2_found, p2_converted, p2_report_values, p3_found, p3_consolidated, p3_files, p3_merge_plan, p4_found, p5_found, p5_grid, p6_found, p6_distances, p6_regions)
 }
 
 _PLACE = "{0} BETWEEN -90 AND 90 AND {1} BETWEEN -180 AND 180 AND NOT isnan({0}) AND NOT isnan({1}) AND NOT ({0} = 0 AND {1} = 0)"
