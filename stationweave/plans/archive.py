@@ -682,6 +682,40 @@ def slot_melt(spark: SparkSession, d: str) -> DataFrame:
     return _r(out, "precip_in")
 
 
+def _quarter(spark: SparkSession, d: str) -> DataFrame:
+    return slot_melt(spark, d).withColumns({c: F.lit(None).cast("double") for c in ("lat", "lon")}).withColumns({"element": F.lit("QPCP"), "station_name": F.lit(None).cast("string"), "flag_quality": F.lit("nan")})
+
+
+@_query(f"""SELECT station_id, CAST(NULL AS DOUBLE) AS lat, CAST(NULL AS DOUBLE) AS lon, state, min(make_date(year, month, day)) AS earliest_dt, max(make_date(year, month, day)) AS latest_dt, count(*) AS row_count,
+    count(DISTINCT year) AS file_count FROM ({ORACLE["slot_melt"]}) GROUP BY ALL""")
+def quarter_inventory(spark: SparkSession, d: str) -> DataFrame:
+    """The inventory of the melted 15-minute rows."""
+    return inventory.quarter_inventory(_quarter(spark, d))
+
+
+_QUARTER_ROWS = f"""SELECT station_id, printf('%04d-%02d-%02d ', year, month, day) || left(time, 2) || ':' || right(time, 2) AS datetime, 'QPCP' AS variable, precip_in * 25.4 AS value, 'mm' AS unit, '' AS quality_flag, state AS own
+    FROM ({ORACLE["slot_melt"]})"""
+
+
+@_query(_tidy_sql(_QUARTER_ROWS, "ghcnd_ids", "15min", "NCEI").replace("station_name, state, CASE", "station_name, own AS state, CASE"))
+def tidy_quarter(spark: SparkSession, d: str) -> DataFrame:
+    """The melted 15-minute rows, tidy: their own state comes before the station table's."""
+    return _r(tidy.quarter(_quarter(spark, d), _meta(spark, d, "15min")), "lat", "lon", "value")
+
+
+@_query(_tidy_sql("SELECT station AS station_id, CAST(date AS VARCHAR) AS datetime, 'HlyPrcp' AS variable, round(prcp, 2) * 25.4 AS value, 'mm' AS unit, '' AS quality_flag FROM obs_daily", "ghcnd_ids", "hourly_precip", "HPD"))
+def tidy_hourly_precip(spark: SparkSession, d: str) -> DataFrame:
+    """Daily amounts taken as hourly precipitation in inches, as text, tidy."""
+    o = read(spark, d, "obs_daily").select(F.col("station").alias("STATION"), F.col("date").alias("DATE"), F.round("prcp", 2).cast("string").alias("HlyPrcp"))
+    return _r(tidy.hourly_precip(o, _meta(spark, d, "hourly_precip")), "lat", "lon", "value")
+
+
+@_query()
+def station_sample(spark: SparkSession, d: str) -> DataFrame:
+    """At most 8000 stations for a map, the same at every run."""
+    return selection.Stations(_stations(spark, d).df).thinned().select("ncei_id", "lat", "lon")
+
+
 @_query("""SELECT file_id, filename, CASE WHEN filename LIKE '%.csv.gz' THEN '.csv.gz' WHEN filename LIKE '%.15m.parquet' THEN '.15m.parquet' WHEN filename LIKE '%.dat.parquet' THEN '.dat.parquet' WHEN contains(filename, '.') THEN lower(regexp_extract(filename, '(\\.[^.]*)$', 1)) ELSE '' END AS extension,
     CASE WHEN regexp_full_match(filename, '6406[A-Z0-9]{5}\\d{6}\\.parquet') THEN substring(filename, 5, 5) WHEN regexp_full_match(filename, 'asos-1min-pg2-[A-Z0-9]{4}-\\d{6}\\.parquet') THEN '0' || substring(filename, 15, 4)
         WHEN regexp_full_match(filename, '\\d{11}\\.parquet') THEN left(filename, 6) WHEN regexp_full_match(filename, '(AQC|CQC|FQC|GQC|MQC|RQC|RQW|SQC|USC|USW|VQC)\\d{8}(\\.csv|\\.parquet|\\.15m\\.parquet)') THEN left(filename, 11)

@@ -20,7 +20,7 @@ def test_same_as_sql(spark, con, name):
 
 
 def test_every_archive_query_has_sql_or_is_a_sample():
-    assert set(archive.QUERIES) - set(archive.ORACLE) == {"sampled_files"}
+    assert set(archive.QUERIES) - set(archive.ORACLE) == {"sampled_files", "station_sample"}
 
 
 def test_samples_are_the_same_again(spark):
