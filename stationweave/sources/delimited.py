@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.decode import MISSING_SLOT, blank_or, isd_precipitation, isd_temperature, null_if, state_of
+from ..functions.once import once
 from ..functions.temporal import with_epoch
 from .fixed import TERRITORIES
 
@@ -67,7 +68,7 @@ def hourly_feed(df: DataFrame, station_id: str = "STATION", state: str | None =
     """
     rows = with_epoch(df.withColumn("_date", F.trim("DATE")), "_date", "_t", only_valid=True)
     t, d, p = isd_temperature(first_of(df, "TMP")), isd_temperature(first_of(df, "DEW")), isd_precipitation(first_of(df, "AA1"))
-    rows = rows.withColumns({"_tmp": t, "_dew": d, "_aa": p}).where(F.coalesce("_tmp.value", "_dew.value", "_aa.mm").isNotNull())
+    rows = once(rows, {"_tmp": t, "_dew": d, "_aa": p}).where(F.coalesce("_tmp.value", "_dew.value", "_aa.mm").isNotNull())
     digits = F.regexp_replace("_date", "[-:]", "")
     part = lambda at, n, kind: F.substring(digits, at, n).cast(kind)
     return rows.select(

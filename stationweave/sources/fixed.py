@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.decode import MISSING_MINUTE, null_if, utc_of_local
+from ..functions.once import once
 
 # Fields as (name, first place from 0, place behind the last).
 STATION_LIST = (("STATION", 0, 11), ("LAT", 12, 20), ("LON", 21, 30), ("ELEV", 31, 37), ("STATE", 38, 40), ("NAME", 41, 71))
@@ -110,9 +111,10 @@ def minute_lines(text: DataFrame) -> DataFrame:
     word where there are eleven and it is a number, else the fourth; temperature
     and dew point are the last two.
     """
-    df = text.select(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("w"))
+    df = once(text.select("value"), {"w": F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")})
     word = lambda n: F.get("w", F.lit(n))
     df = df.where((F.size("w") >= 10) & (F.length(word(0)) >= 9) & (F.length(word(1)) >= 19))
+    df = once(df, {"timestamp_utc": utc_of_local(F.substring(word(1), 4, 12), F.substring(word(1), 16, 4))}).where("timestamp_utc IS NOT NULL")
 
     def number(c: Column) -> Column:
         return null_if(F.upper(F.trim(c)), *MISSING_MINUTE).try_cast("double")
@@ -120,6 +122,6 @@ def minute_lines(text: DataFrame) -> DataFrame:
     rain = F.when((F.size("w") >= 11) & number(word(4)).isNotNull(), number(word(4))).otherwise(number(word(3)))
     return df.select(
         F.substring(word(0), 1, 5).alias("wban"), F.substring(word(0), 6, 4).alias("icao"),
-        utc_of_local(F.substring(word(1), 4, 12), F.substring(word(1), 16, 4)).alias("timestamp_utc"), word(2).alias("precip_id"),
+        "timestamp_utc", word(2).alias("precip_id"),
         rain.alias("precip_in"), number(F.element_at("w", -2)).alias("temp_f"), number(F.element_at("w", -1)).alias("dew_f"),
-    ).where("timestamp_utc IS NOT NULL")
+    )
