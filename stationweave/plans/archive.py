@@ -503,7 +503,7 @@ def nearest_station(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("WITH " + _LOADED + ", x AS (SELECT * FROM loaded WHERE state IN ('TX', 'KS', 'CO')) SELECT count(*) AS stations, CAST(sum(CASE WHEN m THEN fm ELSE 0 END + CASE WHEN dd THEN fd ELSE 0 END) AS BIGINT) AS files, "
-    "round(sum(CASE WHEN m THEN fm ELSE 0 END * 0.000463 + CASE WHEN dd THEN fd ELSE 0 END * 0.0001), 6) AS gb FROM x")
+    "round(sum(CASE WHEN m THEN fm ELSE 0 END * CAST(0.000463 AS DOUBLE) + CASE WHEN dd THEN fd ELSE 0 END * CAST(0.0001 AS DOUBLE)), 6) AS gb FROM x")
 def size_estimate(spark: SparkSession, d: str) -> DataFrame:
     """What an extraction from three states would read."""
     return _r(_stations(spark, d).in_states(["TX", "KS", "CO"]).size_gb(["1min", "daily"]), "gb")
